@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from turnloom.llm.canonical import UNMATCHED, canonical_slots
 from turnloom.llm.containers import documents_in_containers
 from turnloom.llm.tokens import encode_corpus
 from turnloom.llm.topn import retrieved_items, top_per_group
@@ -14,6 +16,17 @@ from turnloom.runtime import table
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return canonical_slots(table(spark, sf_dir, "dialogue"), table(spark, sf_dir, "slot_descriptions")).select("rec_id", "turn_no", "slot", "canonical")
+
+
+def p2_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values, distinct values and unmatched values of each slot."""
+    found = canonical_slots(table(spark, sf_dir, "dialogue"), table(spark, sf_dir, "slot_descriptions"))
+    unmatched = F.col("canonical") == UNMATCHED
+    return found.groupBy("slot").agg(F.count("*").alias("n_values"), F.count_distinct("value").alias("n_distinct"), F.sum(unmatched.cast("long")).alias("n_unmatched"), F.count_distinct(F.when(unmatched, F.col("value"))).alias("n_distinct_unmatched"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     best = top_per_group(retrieved_items(table(spark, sf_dir, "query_turns")), group="query_id", item="graph_id", score="score", n=3)
     return best.select("query_id", "place", "graph_id")
@@ -27,7 +40,7 @@ def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents_in_containers(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {"p4_found": p4_found, "p6_ids": p6_ids, "p7_containers": p7_containers}
+QUERIES: dict[str, Query] = {"p2_found": p2_found, "p2_report": p2_report, "p4_found": p4_found, "p6_ids": p6_ids, "p7_containers": p7_containers}
 
 SQL: dict[str, str] = {
     "p4_found": """
