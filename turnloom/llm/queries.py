@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from turnloom.llm.canonical import UNMATCHED, canonical_slots
 from turnloom.llm.containers import documents_in_containers
+from turnloom.llm.splits import keep_together, related_pairs, split_report
 from turnloom.llm.tokens import encode_corpus
 from turnloom.llm.topn import retrieved_items, top_per_group
 from turnloom.runtime import table
@@ -16,6 +17,18 @@ from turnloom.runtime import table
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return related_pairs(table(spark, sf_dir, "dialogue"))
+
+
+def p1_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return keep_together(table(spark, sf_dir, "dialogue")).select("rec_id", "component", "assigned_split")
+
+
+def p1_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split_report(keep_together(table(spark, sf_dir, "dialogue")))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canonical_slots(table(spark, sf_dir, "dialogue"), table(spark, sf_dir, "slot_descriptions")).select("rec_id", "turn_no", "slot", "canonical")
 
@@ -40,7 +53,7 @@ def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents_in_containers(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {"p2_found": p2_found, "p2_report": p2_report, "p4_found": p4_found, "p6_ids": p6_ids, "p7_containers": p7_containers}
+QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_splits": p1_splits, "p1_report": p1_report, "p2_found": p2_found, "p2_report": p2_report, "p4_found": p4_found, "p6_ids": p6_ids, "p7_containers": p7_containers}
 
 SQL: dict[str, str] = {
     "p4_found": """
