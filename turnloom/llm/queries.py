@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from turnloom.llm.canonical import UNMATCHED, canonical_slots
 from turnloom.llm.containers import documents_in_containers
+from turnloom.llm.overlaps import overlap_report, overlapping_records
 from turnloom.llm.splits import keep_together, related_pairs, split_report
 from turnloom.llm.tokens import encode_corpus
 from turnloom.llm.topn import retrieved_items, top_per_group
@@ -40,6 +41,15 @@ def p2_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("slot").agg(F.count("*").alias("n_values"), F.count_distinct("value").alias("n_distinct"), F.sum(unmatched.cast("long")).alias("n_unmatched"), F.count_distinct(F.when(unmatched, F.col("value"))).alias("n_distinct_unmatched"))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = overlapping_records(table(spark, sf_dir, "dialogue"))
+    return pairs.select(F.least("train_rec", "eval_rec").alias("rec_id_a"), F.greatest("train_rec", "eval_rec").alias("rec_id_b"))
+
+
+def p3_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlap_report(table(spark, sf_dir, "dialogue"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     best = top_per_group(retrieved_items(table(spark, sf_dir, "query_turns")), group="query_id", item="graph_id", score="score", n=3)
     return best.select("query_id", "place", "graph_id")
@@ -53,7 +63,7 @@ def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents_in_containers(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_splits": p1_splits, "p1_report": p1_report, "p2_found": p2_found, "p2_report": p2_report, "p4_found": p4_found, "p6_ids": p6_ids, "p7_containers": p7_containers}
+QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_splits": p1_splits, "p1_report": p1_report, "p2_found": p2_found, "p2_report": p2_report, "p3_found": p3_found, "p3_report": p3_report, "p4_found": p4_found, "p6_ids": p6_ids, "p7_containers": p7_containers}
 
 SQL: dict[str, str] = {
     "p4_found": """
