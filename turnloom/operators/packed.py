@@ -28,8 +28,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-STRONG = frozenset(",;|+&/\t\n\r\u000b\u000c  ，；、")
-BLANKS = frozenset("      　")
+STRONG = frozenset(",;|+&/\t\n\r\v\f\u2028\u2029\uff0c\uff1b\u3001")
+BLANKS = frozenset(" \u00a0\u2002\u2003\u2007\u2009\u202f\u3000")
 CLOSER = {"[": "]", "(": ")", "{": "}"}
 CLOSERS = frozenset(CLOSER.values())
 ESCAPES = {"n": "\n", "t": "\t", "r": "\r", "b": "\b", "f": "\f"}
