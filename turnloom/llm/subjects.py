@@ -45,6 +45,8 @@ EXAMPLE_WEIGHT = 3.0
 SMOOTH = 20.0
 COMPOSED = 4000
 BEAM = 8
+#: Texts a worker holds as word lists at once.
+CHUNK = 1000
 MISSED = 0.06
 
 _TAG = re.compile(r"^\s*(?:\d+[.)]\s+|[-*\u2022\u2013]\s+)*(?:\[\w+\]\s*|\w{1,10}\s*:\s+|\w{1,10}\s+[-\u2013\u2014]\s+|[-*\u2022\u2013]\s+|\d+[.)]\s+)*")
@@ -57,6 +59,8 @@ _WORD = re.compile(r"(?<![\d\w])[^\W\d_]+(?:-[^\W\d_]+)*(?![\d\w])")
 def fold(text: str) -> str:
     """Lower case without accents and invisible characters; an ellipsis is a blank, an invisible break after a sentence too."""
     text = re.sub("(?<=[.!?])[\u200b\u2060\ufeff]+", " ", text.replace("\u2026", " ").replace("...", " "))
+    if text.isascii():
+        return text.lower()
     plain = unicodedata.normalize("NFKD", text.lower().replace("\u00df", "ss"))
     return "".join(c for c in plain if not unicodedata.combining(c) and unicodedata.category(c) != "Cf")
 
@@ -285,8 +289,7 @@ def subject_areas(documents: DataFrame, examples: DataFrame, areas: DataFrame, *
         def expected(batches: Iterator[pd.DataFrame], sent: object = sent) -> Iterator[pd.DataFrame]:
             model = sent.value
             held = np.zeros((len(model.vocabulary), model.k))
-            for pdf in batches:
-                texts = [_unpack(b) for b in pdf["body"]]
+            for texts in ([_unpack(b) for b in pdf["body"][at : at + CHUNK]] for pdf in batches for at in range(0, len(pdf), CHUNK)):
                 document = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
                 i, e = model.index([words for t in texts for words, _ in t])
                 held += model.counts(i, e, model.posterior(i, e, document, len(texts)))
@@ -304,7 +307,7 @@ def subject_areas(documents: DataFrame, examples: DataFrame, areas: DataFrame, *
 
     def label(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model, decoder, labels = final.value
-        for pdf in batches:
+        for pdf in (whole[at : at + CHUNK] for whole in batches for at in range(0, len(whole), CHUNK)):
             texts = [_unpack(b) for b in pdf["body"]]
             sizes = [len(t) for t in texts]
             document = np.repeat(np.arange(len(texts)), sizes)
