@@ -21,7 +21,9 @@ BLOCK = 4096
 
 
 def _frame(columns: list[str], parts: list[tuple[np.ndarray, ...]]) -> pd.DataFrame:
-    return pd.DataFrame({c: np.concatenate([p[i] for p in parts]) for i, c in enumerate(columns)})
+    """Columns put together; texts stay objects, as empty columns of pandas' own text type don't cross to Arrow."""
+    arrays = [np.concatenate([p[i] for p in parts]) for i in range(len(columns))]
+    return pd.DataFrame({c: pd.Series(a, dtype=object if a.dtype.kind not in "iufb" else a.dtype) for c, a in zip(columns, arrays)})
 
 
 def dot(a: Column, b: Column) -> Column:
