@@ -100,7 +100,7 @@ def nearest_in_bucket(queries: DataFrame, store: DataFrame, *, query: str, item:
     def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         columns = ["_query", "_item", "score"]
         if not len(left) or not len(right):
-            return pd.DataFrame({c: [] for c in columns})
+            return pd.DataFrame({c: pd.Series([], dtype=object) for c in columns})
         right = right.sort_values("_item", ascending=False, kind="stable").reset_index(drop=True)
         items = np.stack([np.asarray(v, dtype=np.float64) for v in right["_v"]])
         groups, names, out = right["_group"].to_numpy(dtype=object), right["_item"].to_numpy(), []
@@ -138,7 +138,7 @@ def hybrid_retrieval(queries: DataFrame, store: DataFrame, similarities: DataFra
 
     def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
-            return pd.DataFrame({c: [] for c in ("query_id", "graph_id", "slot", "score")})
+            return pd.DataFrame({c: pd.Series([], dtype=object) for c in ("query_id", "graph_id", "slot", "score")})
         right = right.sort_values("graph_id", ascending=False, kind="stable").reset_index(drop=True)
         items = np.stack([np.asarray(v, dtype=np.float64) for v in right["_v"]])
         sim = right["best_sim"].to_numpy(dtype=np.float64)
