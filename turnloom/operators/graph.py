@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from turnloom.functions import slots as S
 from turnloom.operators.sampling import negative_slot_array
 from turnloom.operators.state import from_turn
-from turnloom.operators.turns import context_lines, shifted, turn_table
+from turnloom.operators.turns import computed_once, context_lines, shifted, turn_table
 
 POSITIVE = ("activate_slot", "apply_label", "value_prev", "value_curr", "triggers_dontcare", "refer_to")
 NEGATIVE = ("neg_slot", "value_carry")
@@ -82,16 +82,17 @@ def graph_store(dialogues: DataFrame, slot_descriptions: DataFrame, *, window: i
     states = F.col("turns.state.slot_values")
     rows = turn_table(dialogues.withColumn("_states", states), "taklabels", keys=(*keys, "_states"), computed={"text": context_lines(window), "before": shifted(states)})
     rows = rows.where(F.size("taklabels") > 0)
-    rows = rows.withColumn("tasklabels", task_labels(F.col("taklabels"), F.col("_states"), F.col("turn_no")))
-    rows = rows.withColumn("active", F.array_distinct(F.transform("tasklabels", lambda t: t["slot"])))
-    negatives = rows.withColumn("_neg", negative_slot_array(F.col("active"), slot_descriptions, [*keys, "turn_no"], seed))
+    rows = computed_once(rows, tasklabels=task_labels(F.col("taklabels"), F.col("_states"), F.col("turn_no")))
+    rows = computed_once(rows, active=F.array_distinct(F.transform("tasklabels", lambda t: t["slot"])))
+    negatives = computed_once(rows, _neg=negative_slot_array(F.col("active"), slot_descriptions, [*keys, "turn_no"], seed))
     carry = lambda s: F.trim(F.coalesce(F.element_at("before", s), F.lit("")))
     neg = F.transform("_neg", lambda s: F.struct(s.alias("slot"), F.when(_some(carry(s)), "ghost").otherwise("void").alias("neg_type"), F.when(_some(carry(s)), carry(s)).otherwise("none").alias("carry_value")))
-    done = negatives.withColumn("neg_slots", neg)
+    done = computed_once(negatives, neg_slots=neg)
     neg_edges = F.flatten(F.transform("neg_slots", lambda x: F.array(edge(node("ctx"), "neg_slot", node("slot", id=x["slot"])), edge(node("slot", id=x["slot"]), "value_carry", node("val", slot=x["slot"], value=x["carry_value"], role="carry"))))).cast(EDGE)
     neg_values = F.transform("neg_slots", lambda x: F.struct(x["slot"].alias("slot"), x["carry_value"].alias("value"), F.lit("carry").alias("role")))
     sources = F.filter(F.transform("tasklabels", lambda t: F.when(t["label"] == "refer-clear", t["from_slot"])), lambda x: x.isNotNull() & (x != ""))
-    return done.select(
+    edges = F.array_distinct(F.concat(event_edges(F.col("taklabels"), F.col("tasklabels")), neg_edges))
+    return computed_once(done, edges=edges).select(
         *keys,
         "turn_no",
         "turn_id",
@@ -102,7 +103,7 @@ def graph_store(dialogues: DataFrame, slot_descriptions: DataFrame, *, window: i
         "tasklabels",
         F.array_distinct(F.concat(event_values(F.col("taklabels")), neg_values)).alias("values"),
         "neg_slots",
-        F.array_distinct(F.concat(event_edges(F.col("taklabels"), F.col("tasklabels")), neg_edges)).alias("edges"),
+        "edges",
     )
 
 

@@ -29,6 +29,11 @@ def shifted(values: Column, by: int = 1) -> Column:
     return F.transform(values, lambda x, i: F.get(values, i - by))
 
 
+def computed_once(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with ``columns`` behind a generator, so that later uses don't repeat their expressions."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
+
+
 def turn_table(dialogues: DataFrame, *fields: str, keys: tuple[str, ...] = ("rec_id",), before: tuple[str, ...] = (), computed: dict[str, Column] | None = None) -> DataFrame:
     """One row per turn: ``keys``, turn_no, turn_id, ``fields``, and ``before_<field>`` of the turn before.
 

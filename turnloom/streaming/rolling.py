@@ -55,7 +55,7 @@ def rolling_batch(turns: DataFrame, predict: Predictor = carry_predictor, *, key
         rows = pdf.sort_values("turn_no", kind="stable").to_dict("records")
         name = str(rows[0][key])
         _, out = _steps({}, rows, predict)
-        return pd.DataFrame({"key": [name] * len(out), "turn_no": [o[0] for o in out], "predicted": [list(o[1].items()) for o in out], "state": [list(o[2].items()) for o in out]})
+        return pd.DataFrame({"key": [name] * len(out), "turn_no": [o[0] for o in out], "predicted": [o[1] for o in out], "state": [o[2] for o in out]})
 
     return turns.groupBy(key).applyInPandas(run, OUT)
 
@@ -80,7 +80,7 @@ def rolling_stream(turns: DataFrame, predict: Predictor = carry_predictor, *, ke
         held.update((list(state), list(state.values())))
         if timeout:
             held.setTimeoutDuration(timeout)
-        yield pd.DataFrame({"key": [str(name[0])] * len(out), "turn_no": [o[0] for o in out], "predicted": [list(o[1].items()) for o in out], "state": [list(o[2].items()) for o in out]})
+        yield pd.DataFrame({"key": [str(name[0])] * len(out), "turn_no": [o[0] for o in out], "predicted": [o[1] for o in out], "state": [o[2] for o in out]})
 
     kept = T.StructType([T.StructField("slots", T.ArrayType(T.StringType())), T.StructField("values", T.ArrayType(T.StringType()))])
     wait = GroupStateTimeout.ProcessingTimeTimeout if timeout else GroupStateTimeout.NoTimeout
