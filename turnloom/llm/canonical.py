@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -189,12 +190,20 @@ def _aliases(slot: str, entries: list[str]) -> dict[str, str]:
 
 
 def reference_forms(lists: dict[str, list[str]]) -> list[tuple[str, str, str, list[str], list[str]]]:
-    """(slot, entry, form, tokens, generic words) of every entry and alias; the lists are a fixed small table."""
+    """(slot, entry, form, tokens, generic words) of every entry and alias; the lists are a fixed small table.
+
+    Generic are the last words several entries share (court, inn) and words met only before one of them (guest house).
+    """
     rows = []
     for slot, entries in lists.items():
-        words = pd.Series([w for e in entries for w in set(fold(e).split()[1:])], dtype=object).value_counts()
-        last = {" ".join(fold(e).split()[-1:]) for e in entries}
-        generic = sorted({w for w, n in words.items() if n >= 3 and w in last} | {"the"} | {w for e in entries for w in fold(e).split()[-2:] if words.get(w, 0) >= 2 and w in ("guest", "swimming", "noodle", "boat")})
+        split = [fold(e).split() for e in entries]
+        last = {w for w, n in Counter(e[-1] for e in split if len(e) > 1).items() if n >= 2}
+        before_last = {}
+        for e in split:
+            if len(e) > 2:
+                before_last.setdefault(e[-2], []).append((e[-1], e[-3]))
+        compound = {w for w, at in before_last.items() if len({x for x, _ in at}) == 1 and at[0][0] in last and len({y for _, y in at}) >= 3}
+        generic = sorted(last | compound | {"the"})
         several = [e for e in entries if " " in e]
         for form, entry in [(f, e) for e in entries for f in forms(e)] + [(fold(a), e) for a, e in _aliases(slot, entries).items()]:
             rows.append((slot, entry, form, tokens(form), generic if several else []))

@@ -39,6 +39,8 @@ RATE = 0.5
 SHARE = 0.5
 #: Sizes priced at once while the remainder is filled.
 PRICED = 128
+TILTS = (0.05, 1.0, 3.0, 8.0)
+NEAR = 0.002
 
 
 def knapsack(sizes: np.ndarray, counts: np.ndarray, worth: np.ndarray, capacity: int) -> np.ndarray:
@@ -71,12 +73,28 @@ def knapsack(sizes: np.ndarray, counts: np.ndarray, worth: np.ndarray, capacity:
 
 
 def configurations(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[tuple[dict[int, int], int]]:
-    """(items of each size, number of containers) covering the histogram exactly."""
+    """(items of each size, number of containers) covering the histogram exactly.
+
+    Starting prices favour large items more or less; the first plan within ``NEAR`` of
+    the size bound is taken, else the best.
+    """
+    bound = sum(s * n for s, n in histogram.items()) / capacity
+    best: list[tuple[dict[int, int], int]] = []
+    for tilt in TILTS:
+        plan = _plan(histogram, capacity, rounds, tilt)
+        if not best or sum(m for _, m in plan) < sum(m for _, m in best):
+            best = plan
+        if sum(m for _, m in best) <= bound * (1 + NEAR) + 1:
+            break
+    return best
+
+
+def _plan(histogram: dict[int, int], capacity: int, rounds: int, tilt: float) -> list[tuple[dict[int, int], int]]:
     sizes = np.array(sorted((s for s, n in histogram.items() if n > 0), reverse=True), dtype=np.int64)
     counts = np.array([histogram[int(s)] for s in sizes], dtype=np.int64)
     if not len(sizes):
         return []
-    start = sizes / capacity * (1 + 0.05 * sizes / capacity)  # the dual by size, large items first on ties
+    start = sizes / capacity * (1 + tilt * sizes / capacity)  # the dual by size, large items first on ties
     weight = np.ones(len(sizes))
     uncovered = counts.astype(float)
     patterns: dict[tuple[int, ...], float] = {}
