@@ -21,15 +21,14 @@ def write_array(df: DataFrame, path: str, *, mode: str = "overwrite") -> None:
     def listed(batches):
         import pandas as pd
 
-        first, any_ = True, False
+        sign = "["
         for pdf in batches:
             if len(pdf):
-                any_ = True
-                yield pd.DataFrame({"value": [("[\n" if first and i == 0 else ",\n") + v for i, v in enumerate(pdf["value"])]})
-                first = False
-        yield pd.DataFrame({"value": ["\n]" if any_ else "[]"]})
+                yield pd.DataFrame({"value": [sign + pdf["value"].iloc[0], *("," + v for v in pdf["value"].iloc[1:])]})
+                sign = ","
+        yield pd.DataFrame({"value": ["]" if sign == "," else "[]"]})
 
-    df.select(F.to_json(F.struct(*df.columns)).alias("value")).mapInPandas(listed, "value string").write.mode(mode).option("lineSep", "").text(path)
+    df.select(F.to_json(F.struct(*df.columns)).alias("value")).mapInPandas(listed, "value string").write.mode(mode).text(path)
 
 
 def write_table(df: DataFrame, path: str, *, mode: str = "overwrite") -> None:
