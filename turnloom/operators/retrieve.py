@@ -127,38 +127,55 @@ def hybrid_retrieval(queries: DataFrame, store: DataFrame, similarities: DataFra
 
     ``queries``: query_id, dial_id, slot, label, vector; ``store``: graph_id, dial_id,
     tasklabels, vector. Turns of the query's own dialogue don't count (a query without
-    a dialogue excludes none). The store's blocks answer (label, slot) groups of queries.
+    a dialogue excludes none). A stored turn goes once to one block of each of its labels;
+    the slot similarities, a fixed table of slots times slots, travel with the function,
+    which finds each turn's most similar slot (:func:`best_slots`) for all query slots at once.
     """
-    best = best_slots(store, similarities, cross_domain=cross_domain)
-    wide = best.join(store.select("graph_id", F.col("dial_id").alias("_group"), F.col("vector").alias("_v")), "graph_id")
-    counts = wide.groupBy("label", "q_slot").agg(F.ceil(F.count("*") / block).cast("int").alias("_blocks"))
-    dealt = wide.join(F.broadcast(counts), ["label", "q_slot"]).withColumn("_block", F.pmod(F.xxhash64("graph_id"), F.col("_blocks")).cast("int")).drop("_blocks")
-    asked = queries.select("query_id", F.col("dial_id").alias("_group"), F.col("slot").alias("q_slot"), "label", F.col("vector").alias("_v")).join(F.broadcast(counts), ["label", "q_slot"]).select("*", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_block")).drop("_blocks")
+    from turnloom.functions.slots import domain_of
+
+    table = similarities.where(domain_of(F.col("q_slot")) != domain_of(F.col("db_slot"))) if cross_domain else similarities
+    known = {(r["q_slot"], r["db_slot"]): float(r["sim"]) for r in table.limit(1_000_000).collect()}
+    q_slots, db_slots = sorted({q for q, _ in known}), sorted({d for _, d in known})
+    sims = np.array([[known.get((q, d), -np.inf) for d in db_slots] for q in q_slots]).reshape(len(q_slots), len(db_slots))
+    q_at, db_at = {s: i for i, s in enumerate(q_slots)}, {s: i for i, s in enumerate(db_slots)}
+
+    labelled = store.select("graph_id", F.col("dial_id").alias("_group"), F.col("vector").alias("_v"), F.explode("tasklabels").alias("_e")).where("_e.label is not null and _e.slot is not null")
+    held = labelled.groupBy("graph_id", F.col("_e.label").alias("label")).agg(F.first("_group").alias("_group"), F.first("_v").alias("_v"), F.collect_set("_e.slot").alias("_slots"))
+    counts = held.groupBy("label").agg(F.ceil(F.count("*") / block).cast("int").alias("_blocks"))
+    dealt = held.join(counts, "label").withColumn("_block", F.pmod(F.xxhash64("graph_id"), F.col("_blocks")).cast("int")).drop("_blocks")
+    asked = queries.where(F.col("slot").isin(*q_slots)).select("query_id", F.col("dial_id").alias("_group"), "slot", "label", F.col("vector").alias("_v")).join(counts, "label").select("*", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_block")).drop("_blocks")
     q_type = queries.schema["query_id"].dataType.simpleString()
+    columns = ["query_id", "graph_id", "slot", "score"]
 
     def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
-            return pd.DataFrame({c: pd.Series([], dtype=object) for c in ("query_id", "graph_id", "slot", "score")})
+            return pd.DataFrame({c: pd.Series([], dtype=object) for c in columns})
         right = right.sort_values("graph_id", ascending=False, kind="stable").reset_index(drop=True)
         items = np.stack([np.asarray(v, dtype=np.float64) for v in right["_v"]])
-        sim = right["best_sim"].to_numpy(dtype=np.float64)
-        alpha = np.clip(0.2 + 0.3 * sim, 0.2, 0.5)
-        groups, names, slots, out = right["_group"].to_numpy(dtype=object), right["graph_id"].to_numpy(), right["best_slot"].to_numpy(), []
-        for at in range(0, len(left), 512):
-            part = left.iloc[at : at + 512]
-            context = np.stack([np.asarray(v, dtype=np.float64) for v in part["_v"]]) @ items.T
-            scores = np.round((1 - alpha) * context + alpha * sim, 9)
-            own = part["_group"].to_numpy(dtype=object)[:, None]
-            scores[(own == groups[None, :]) & pd.notna(own) & (own != "")] = -np.inf
-            top = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-            rows = np.repeat(np.arange(len(part)), top.shape[1])
-            cols = top.ravel()
-            fine = np.isfinite(scores[rows, cols])
-            rows, cols = rows[fine], cols[fine]
-            out.append((part["query_id"].to_numpy()[rows], names[cols], slots[cols], scores[rows, cols]))
-        return _frame(["query_id", "graph_id", "slot", "score"], out)
+        has = np.zeros((len(right), len(db_slots)), dtype=bool)
+        for i, names in enumerate(right["_slots"]):
+            has[i, [db_at[s] for s in names if s in db_at]] = True
+        groups, ids, out = right["_group"].to_numpy(dtype=object), right["graph_id"].to_numpy(dtype=object), []
+        for name, asking in left.groupby("slot", sort=True):
+            offered = np.where(has, sims[q_at[name]][None, :], -np.inf)
+            best = offered.argmax(axis=1)
+            sim = offered[np.arange(len(right)), best]
+            valid = np.isfinite(sim)
+            alpha = np.clip(0.2 + 0.3 * np.where(valid, sim, 0.0), 0.2, 0.5)
+            for at in range(0, len(asking), 512):
+                part = asking.iloc[at : at + 512]
+                context = np.stack([np.asarray(v, dtype=np.float64) for v in part["_v"]]) @ items.T
+                scores = np.round(np.where(valid, (1 - alpha) * context + alpha * np.where(valid, sim, 0.0), -np.inf), 9)
+                own = part["_group"].to_numpy(dtype=object)[:, None]
+                scores[(own == groups[None, :]) & pd.notna(own) & (own != "")] = -np.inf
+                top = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+                rows, cols = np.repeat(np.arange(len(part)), top.shape[1]), top.ravel()
+                fine = np.isfinite(scores[rows, cols])
+                rows, cols = rows[fine], cols[fine]
+                out.append((part["query_id"].to_numpy()[rows], ids[cols], np.array(db_slots, dtype=object)[best[cols]], scores[rows, cols]))
+        return _frame(columns, out)
 
-    local = asked.groupBy("label", "q_slot", "_block").cogroup(dealt.groupBy("label", "q_slot", "_block")).applyInPandas(score, f"query_id {q_type}, graph_id string, slot string, score double")
+    local = asked.groupBy("label", "_block").cogroup(dealt.groupBy("label", "_block")).applyInPandas(score, f"query_id {q_type}, graph_id string, slot string, score double")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("graph_id").desc()))
     return local.withColumn("place", place).where(F.col("place") <= k).select("query_id", "place", "graph_id", "slot", "score", F.concat_ws("::", "graph_id", "slot").alias("ret_id"))
 
