@@ -9,6 +9,7 @@ from turnloom.functions import slots as S
 from turnloom.functions import text as X
 from turnloom.operators.memory import latest_by_slot, memory_records
 from turnloom.operators.turns import context_lines, turn_table
+from turnloom.runtime import small
 
 #: The action a model most easily takes for the gold one.
 CONFUSED_ACTION = {
@@ -27,7 +28,7 @@ TOP_CANDIDATES = 10
 
 
 def _universe(slot_descriptions: DataFrame) -> list[str]:
-    return [r["slot"] for r in slot_descriptions.select("slot").distinct().orderBy("slot").limit(1000).collect()]  # a fixed table
+    return sorted(r["slot"] for r in small(slot_descriptions.select("slot").distinct(), 1000))
 
 
 def activation_samples(dialogues: DataFrame, slot_descriptions: DataFrame, *, held_out: str | None = None, seed: str = "20251218", keys: tuple[str, ...] = ("rec_id",)) -> DataFrame:
@@ -72,7 +73,7 @@ def activation_samples(dialogues: DataFrame, slot_descriptions: DataFrame, *, he
 
 def surface_mentions(dialogues: DataFrame, slot_descriptions: DataFrame, *, most: int = 1, least: float = 0.0, window: int = 1, seed: str = "13", keys: tuple[str, ...] = ("rec_id",)) -> DataFrame:
     """The inactive slots whose words are most like the turn's: keys, turn_no, slot, similarity, rank."""
-    described = S.describe_slots(slot_descriptions).select("slot", X.word_set(F.col("lexical_text")).alias("words")).orderBy("slot").limit(1000).collect()  # a fixed table
+    described = small(S.describe_slots(slot_descriptions).select("slot", X.word_set(F.col("lexical_text")).alias("words")), 1000)
     turns = turn_table(dialogues, "taklabels", keys=keys, computed={"text": context_lines(window, "plain")})
     parts = [F.col(k).cast("string") for k in (*keys, "turn_no")]
     active = F.coalesce(F.transform("taklabels", lambda e: e["slot"]), F.array().cast("array<string>"))

@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from turnloom.runtime import small
+
 WIDTH = 64
 BLOCK = 4096
 
@@ -134,7 +136,7 @@ def hybrid_retrieval(queries: DataFrame, store: DataFrame, similarities: DataFra
     from turnloom.functions.slots import domain_of
 
     table = similarities.where(domain_of(F.col("q_slot")) != domain_of(F.col("db_slot"))) if cross_domain else similarities
-    known = {(r["q_slot"], r["db_slot"]): float(r["sim"]) for r in table.limit(1_000_000).collect()}
+    known = {(r["q_slot"], r["db_slot"]): float(r["sim"]) for r in small(table, 1_000_000)}
     q_slots, db_slots = sorted({q for q, _ in known}), sorted({d for _, d in known})
     sims = np.array([[known.get((q, d), -np.inf) for d in db_slots] for q in q_slots]).reshape(len(q_slots), len(db_slots))
     q_at, db_at = {s: i for i, s in enumerate(q_slots)}, {s: i for i, s in enumerate(db_slots)}
@@ -189,7 +191,7 @@ def parse_retrieved(ret_id: Column) -> Column:
 
 def dense_top_slots(queries: DataFrame, slots: DataFrame, *, query: str, vector: str = "vector", slot: str = "slot", k: int = 10) -> DataFrame:
     """The ``k`` slots nearest to each query, best first: query, candidates. The slot table is fixed, so it travels inside the plan."""
-    rows = slots.select(slot, F.transform(vector, lambda x: x.cast("double")).alias("v")).orderBy(slot).limit(1000).collect()
+    rows = sorted(small(slots.select(slot, F.transform(vector, lambda x: x.cast("double")).alias("v")), 1000), key=lambda r: r[slot])
     names, matrix = np.array([r[slot] for r in rows], dtype=object), np.array([r["v"] for r in rows], dtype=np.float64)
 
     @F.pandas_udf(T.ArrayType(T.StringType()))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from turnloom.functions import slots as S
 from turnloom.functions import text as X
+from turnloom.runtime import small
 
 #: Slot types that are easily taken for each other, and slots that homonyms of taxi places evoke.
 CONFUSABLE = {
@@ -96,7 +97,7 @@ def negative_candidates(active: Column, slots: DataFrame, keys: list[str], seed:
     weighted ``CONFUSION_BOOST``), then any; within a tier by weighted hash keys. The slot
     table (fixed, tens of rows) travels in the expression, so nothing is shuffled.
     """
-    universe = [r["slot"] for r in slots.select("slot").distinct().orderBy("slot").limit(1000).collect()]  # a fixed table
+    universe = sorted(r["slot"] for r in small(slots.select("slot").distinct(), 1000))
     split = {s: s.split("-", 1) for s in universe if "-" in s}
     enemies = {s: [e for e in universe if e in split and split[e][0] == d and split[e][1] in CONFUSABLE.get(k, ())] for s, (d, k) in split.items()}
     homonyms = {s: [h for h in TAXI_HOMONYMS if h in universe] for s in ("taxi-departure", "taxi-destination") if s in universe}

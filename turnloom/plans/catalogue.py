@@ -12,7 +12,7 @@ from turnloom.functions import text as X
 from turnloom.operators import coref, evaluate, graph, memory, pairs, prompts, retrieve, sampling, splits, state, turns
 from turnloom.operators.packed import label_values
 from turnloom.plans import sql as Q
-from turnloom.runtime import table
+from turnloom.runtime import small, table
 from turnloom.sources import readers
 from turnloom.streaming import rolling
 
@@ -50,7 +50,7 @@ def joined(c: str, by: str = "|") -> F.Column:
 
 @query("p5_found")
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = slots(spark, sf_dir).select("slot").where("slot like '% %'").limit(1000).collect()  # a fixed table of 30 slots
+    names = small(slots(spark, sf_dir).select("slot").where("slot like '% %'"), 1000)
     return label_values(dialogues(spark, sf_dir), [r["slot"] for r in names])
 
 
