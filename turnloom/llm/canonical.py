@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from turnloom.operators.skew import attach
-from turnloom.runtime import stored
+from turnloom.runtime import small, stored
 
 THRESHOLD = 0.4
 ABSENT = ("", "none", "not mentioned", "dontcare")
@@ -265,7 +265,7 @@ def canonical_values(values: DataFrame, lists: dict[str, list[str]], threshold:
 
 def canonical_slots(dialogues: DataFrame, slot_descriptions: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """rec_id, turn_no, slot, value, canonical of every freely typed value in the turns' ``slot_values``."""
-    lists = {r["slot"]: [e for e in r["value"] if e is not None] for r in slot_descriptions.where(F.size("value") > 0).select("slot", "value").limit(10_000).collect()}  # a fixed table of 30 slots
+    lists = {r["slot"]: [e for e in r["value"] if e is not None] for r in small(slot_descriptions.where(F.size("value") > 0).select("slot", "value"), 10_000)}
     spark = dialogues.sparkSession
     entries = F.broadcast(spark.createDataFrame([(s, e) for s, l in lists.items() for e in l], "slot string, value string"))
     cells = dialogues.select("rec_id", F.posexplode("turns").alias("turn_no", "_t")).select("rec_id", "turn_no", F.explode("_t.state.slot_values").alias("slot", "value"))

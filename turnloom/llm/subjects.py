@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from turnloom.operators.skew import attach
-from turnloom.runtime import stored
+from turnloom.runtime import small, stored
 
 FIFTH = 0.2
 ROUNDS = 3
@@ -44,6 +44,8 @@ LEAST_SHARE = 2e-5
 EXAMPLE_WEIGHT = 3.0
 SMOOTH = 20.0
 COMPOSED = 4000
+#: Labelled texts read to the driver; a larger table is refused, not cut.
+MOST_EXAMPLES = 100_000
 BEAM = 8
 #: Texts a worker holds as word lists at once.
 CHUNK = 1000
@@ -241,9 +243,9 @@ def fit_chain(topics: Topics, lists: list[list[str]], ended: np.ndarray, topic:
 def subject_areas(documents: DataFrame, examples: DataFrame, areas: DataFrame, *, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """``id_column``, subject: one row for each document and subject area it is about."""
     spark = documents.sparkSession
-    names = sorted({str(r["subject"]) for r in areas.select("subject").where("subject is not null").limit(10_000).collect()})
+    names = sorted({str(r["subject"]) for r in small(areas.select("subject").where("subject is not null"), 10_000)})
     known = {n.strip().casefold(): i for i, n in enumerate(names)}
-    labelled = [(r["text"], known[r["subject"].strip().casefold()]) for r in examples.select("text", "subject").where("text is not null and subject is not null").limit(100_000).collect() if r["subject"].strip().casefold() in known]
+    labelled = [(r["text"], known[r["subject"].strip().casefold()]) for r in small(examples.select("text", "subject").where("text is not null and subject is not null"), MOST_EXAMPLES) if r["subject"].strip().casefold() in known]
     k = len(names) + 1
     keyed = documents.where(F.col(text).isNotNull() & (F.trim(text) != "")).select(F.col(id_column).alias("_id"), F.col(text).alias("_text"), F.md5(text).alias("_key"))
     distinct = keyed.groupBy("_key").agg(F.first("_text").alias("_text"), F.count("*").alias("_n"))
