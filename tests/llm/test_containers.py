@@ -58,6 +58,12 @@ def test_every_item_has_its_place(spark):
     assert fill_containers(df.limit(0), size="size", capacity=100).collect() == []
 
 
+def test_null_and_large_ids(spark):
+    rows = [(None, 5), (2**62 + 1, 7), (2**62 + 1, 7), (3, None)]
+    got = fill_containers(spark.createDataFrame(rows, "doc_id long, size long").coalesce(1), size="size", capacity=10).collect()
+    assert sorted((r["doc_id"] or 0, r["n_tokens"]) for r in got) == [(0, 5), (2**62 + 1, 7), (2**62 + 1, 7)] and len({(r["container_id"], r["place"]) for r in got}) == 3
+
+
 def best_fit_decreasing(histogram, capacity):
     room, bins = [], 0
     for s in sorted(histogram, reverse=True):

@@ -85,6 +85,13 @@ def test_splits_keep_groups_and_shares(spark, dialogues):
     assert keep_together(df.limit(0)).collect() == []
 
 
+def test_records_without_ids(spark, dialogues):
+    df = dialogues([(None, {"dial_id": "MLT1", "domains": ["hotel"]}), (1, {"dial_id": "MLT1", "domains": ["hotel"]}), (None, {"dial_id": None})])
+    got = keep_together(df).collect()
+    assert len(got) == 3 and len({r["assigned_split"] for r in got if r["component"] == "mlt:1"}) == 1
+    assert related_pairs(df).collect() == []
+
+
 def test_anneal_beats_the_start():
     rng = np.random.default_rng(3)
     weights = rng.integers(1, 9, (300, 3)).astype(float)

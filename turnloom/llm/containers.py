@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -167,10 +168,10 @@ def fill_containers(items: DataFrame, *, id_column: str = "doc_id", size: str =
     starts = pd.DataFrame(rows, columns=["part", "rank", "base", "each", "place"], dtype="int64")
     ranks_of = {int(p): (g["rank"].to_numpy(), g["base"].to_numpy(), g["each"].to_numpy(), g["place"].to_numpy()) for p, g in starts.groupby("part")}
 
-    def placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            container, place = np.zeros(len(pdf), dtype=np.int64), np.zeros(len(pdf), dtype=np.int64)
-            parts, ranks = pdf["n_tokens"].to_numpy(), pdf["_rank"].to_numpy()
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            container, place = np.zeros(batch.num_rows, dtype=np.int64), np.zeros(batch.num_rows, dtype=np.int64)
+            parts, ranks = batch.column("n_tokens").to_numpy(), batch.column("_rank").to_numpy()
             order = np.argsort(parts, kind="stable")
             edges = np.flatnonzero(np.diff(parts[order], prepend=-1, append=-1))
             for lo, hi in zip(edges[:-1], edges[1:]):
@@ -180,14 +181,15 @@ def fill_containers(items: DataFrame, *, id_column: str = "doc_id", size: str =
                 over = ranks[at] - first[k]
                 container[at] = bases[k] + over // each[k]
                 place[at] = slot[k] + over % each[k]
-            yield pdf.drop(columns="_rank").assign(container_id=container, place=place)
+            kept = [batch.column(c) for c in ("_id", "piece_no", "first_token", "n_tokens")]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(container), pa.array(place)], names=["_id", "piece_no", "first_token", "n_tokens", "container_id", "place"])
 
     offsets = slices.withColumn("_before", F.coalesce(F.sum("_n").over(Window.partitionBy("_part").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
     ranked = pieces.withColumn("_at", F.row_number().over(Window.partitionBy("_part", "_slice").orderBy("_id", "piece_no")) - 1).join(offsets, ["_part", "_slice"])
     kind = items.schema[id_column].dataType
     out = ranked.select("_id", F.col("piece_no").cast("int").alias("piece_no"), "first_token", F.col("_part").alias("n_tokens"), (F.col("_at") + F.col("_before")).cast("long").alias("_rank"))
     schema = f"_id {kind.simpleString()}, piece_no int, first_token long, n_tokens long, container_id long, place long"
-    placed_rows = out.mapInPandas(placed, schema)
+    placed_rows = out.mapInArrow(placed, schema)
     return placed_rows.select(F.col("_id").alias(id_column), "piece_no", "first_token", "n_tokens", "container_id", F.col("place").cast("int").alias("place"))
 
 

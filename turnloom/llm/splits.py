@@ -14,7 +14,7 @@ kept), what remains over all blocks is handed out anew for the next round, and
 the best round is kept. Components with over 1/GIANTS of all records, so at most
 GIANTS of them, are placed before on the driver; whole components never break.
 
-Defined results: a null, empty or unreadable id names nothing, so the record is
+Defined results: a record without an id of its own is in no pair but gets a split; a null, empty or unreadable id names nothing, so the record is
 a component of its own; blank, null and repeated labels don't count; an empty
 table gives an empty result; repeated records count as often as they occur.
 """
@@ -90,7 +90,7 @@ def related_records(records: DataFrame, *, record: str = "rec_id", dial_id: str
     counts = first.where(F.col("node").isNotNull()).groupBy("node").agg(F.count("*").alias("_n"))
     merged = stored(counts.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("component"), "_n"), "key-roots")
     named = attach(first.where(F.col("node").isNotNull()), merged, ["node"]).select("record", "component", "labels")
-    alone = first.where(F.col("node").isNull()).select("record", F.concat(F.lit("record:"), F.col("record").cast("string")).alias("component"), "labels")
+    alone = first.where(F.col("node").isNull()).select("record", F.concat(F.lit("record:"), F.coalesce(F.col("record").cast("string"), F.lit("null"))).alias("component"), "labels")
     return named.unionByName(alone)
 
 
