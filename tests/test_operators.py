@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from turnloom.runtime import small
 from turnloom.operators import coref, evaluate, graph, pairs, prompts, retrieve, sampling, skew, splits, turns
 
 SLOTS = ["hotel-area", "hotel-name", "hotel-type", "hotel-book day", "restaurant-area", "restaurant-name", "taxi-departure", "taxi-destination", "attraction-name", "train-day"]
@@ -21,11 +22,18 @@ def test_attach_equals_a_join(spark):
     keys = [("hot", i) for i in range(900)] + [(f"k{i % 40}", i) for i in range(300)] + [(None, 5), ("lost", 6)]
     rows = spark.createDataFrame(keys, "k string, v int")
     per = spark.createDataFrame([("hot", 1, 900)] + [(f"k{i}", i, 8) for i in range(40)], "k string, w int, _n long")
-    want = sorted((k, v, w) for k, v in keys for k2, w, _ in per.collect() if k == k2)
+    weight = {r["k"]: r["w"] for r in per.collect()}
+    want = sorted((k, v, weight[k]) for k, v in keys if k in weight)
     assert sorted(map(tuple, skew.attach(rows, per, ["k"]).select("k", "v", "w").collect())) == want
     assert skew.attach(rows.limit(0), per.limit(0), ["k"]).collect() == []
 
 
+def test_small_tables_are_never_cut(spark):
+    assert len(small(spark.range(3), 3)) == 3
+    with pytest.raises(ValueError, match="at most 2 rows"):
+        small(spark.range(3), 2)
+
+
 # --- splits
 def test_domain_filters(dialogues):
     d = dialogues([(1, {"domains": ["Hotel ", "taxi"], "split": "test"}), (2, {"domains": ["hotel"], "split": "test"}), (3, {"domains": ["police", "hotel"], "split": "train"}), (4, {"domains": None, "split": "dev"}), (5, {"domains": ["train", None, ""], "split": "train"}), (6, {"domains": ["bus"], "split": None})])
