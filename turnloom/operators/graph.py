@@ -32,16 +32,21 @@ def _some(value: Column) -> Column:
 def task_labels(events: Column, states: Column, turn_no: Column) -> Column:
     """Each event's slot, label, from_slot and from_turn; events without a slot are left out."""
 
+    # one step per level, as what a lambda uses twice is computed twice
+    def read(e: Column) -> Column:
+        return F.struct(F.trim(e["slot"]).alias("slot"), e["label-1"].alias("label1"), S.label_tokens(e["label-2"]).alias("tokens"), F.trim(F.coalesce(e["curr_val"], F.lit(""))).alias("value"))
+
+    def labelled(e: Column) -> Column:
+        told = S.tagged_value(e["tokens"], "refered-value")
+        return F.struct(e["slot"].alias("slot"), S.resolve_label(e["label1"], e["tokens"], "graph").alias("label"), S.tagged_value(e["tokens"], "refered-slot").alias("named"), F.when(told != "", told).otherwise(e["value"]).alias("value"))
+
     def one(e: Column) -> Column:
-        tokens = S.label_tokens(e["label-2"])
-        label = S.resolve_label(e["label-1"], tokens, "graph")
-        source = F.when(label == "refer-clear", S.tagged_value(tokens, "refered-slot")).otherwise("")
-        told = S.tagged_value(tokens, "refered-value")
-        value = F.when(told != "", told).otherwise(F.trim(F.coalesce(e["curr_val"], F.lit(""))))
-        turn = F.when((source != "") & (value != ""), from_turn(states, turn_no, source, value)).otherwise(F.lit(-1))
-        return F.struct(F.trim(e["slot"]).alias("slot"), label.alias("label"), source.alias("from_slot"), turn.alias("from_turn"))
-
-    return F.transform(F.filter(events, lambda e: F.trim(F.coalesce(e["slot"], F.lit(""))) != ""), one)
+        source = F.when(e["label"] == "refer-clear", e["named"]).otherwise("")
+        turn = F.when((source != "") & (e["value"] != ""), from_turn(states, turn_no, source, e["value"])).otherwise(F.lit(-1))
+        return F.struct(e["slot"].alias("slot"), e["label"].alias("label"), source.alias("from_slot"), turn.alias("from_turn"))
+
+    kept = F.filter(events, lambda e: F.trim(F.coalesce(e["slot"], F.lit(""))) != "")
+    return F.transform(F.transform(F.transform(kept, read), labelled), one)
 
 
 def event_edges(events: Column, labels: Column) -> Column:

@@ -19,14 +19,14 @@ def memory_records() -> Column:
     """All active events of a dialogue, in order: turn_no, action, value, ref_slot, slot."""
 
     def of_turn(events: Column, turn_no: Column) -> Column:
-        tokens = lambda e: S.label_tokens(e["label-2"])
+        read = F.transform(events, lambda e: F.struct(e["slot"].alias("slot"), e["label-1"].alias("label1"), S.label_tokens(e["label-2"]).alias("tokens"), e["curr_val"].alias("value")))
         rows = F.transform(
-            events,
+            read,
             lambda e: F.struct(
                 turn_no.cast("int").alias("turn_no"),
-                S.resolve_label(e["label-1"], tokens(e), "memory").alias("action"),
-                F.trim(F.coalesce(e["curr_val"], F.lit(""))).alias("value"),
-                S.tagged_value(tokens(e), "refered-slot").alias("ref_slot"),
+                S.resolve_label(e["label1"], e["tokens"], "memory").alias("action"),
+                F.trim(F.coalesce(e["value"], F.lit(""))).alias("value"),
+                S.tagged_value(e["tokens"], "refered-slot").alias("ref_slot"),
                 F.trim(F.coalesce(e["slot"], F.lit(""))).alias("slot"),
             ),
         )

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from turnloom.functions import slots as S
 from turnloom.functions import text as X
 from turnloom.operators.memory import latest_by_slot, memory_records
-from turnloom.operators.turns import context_lines, turn_table
+from turnloom.operators.turns import computed_once, context_lines, turn_table
 from turnloom.runtime import small
 
 #: The action a model most easily takes for the gold one.
@@ -41,27 +41,31 @@ def activation_samples(dialogues: DataFrame, slot_descriptions: DataFrame, *, he
     hash from the rest, at last any other slot by hash. All of it is expressions over one
     row, with the slot table inside them.
     """
-    universe = F.array(*[F.lit(s) for s in _universe(slot_descriptions)])
+    fact = lambda s: F.struct(s.alias("slot"), S.domain_of(s).alias("domain"), S.type_of(s).alias("kind"))
+    universe = F.array(*[fact(F.lit(s)) for s in _universe(slot_descriptions)])  # folded to a constant
     turns = turn_table(dialogues, "taklabels", "candidates", keys=keys).where(F.size("taklabels") > 0)
     gold = F.array_distinct(F.filter(F.transform("taklabels", lambda e: e["slot"]), lambda s: s.isNotNull() & (s != "")))
     rows = turns.select(*keys, "turn_no", gold.alias("_gold"), F.coalesce(F.array_distinct(F.filter("candidates", lambda c: c.isNotNull())), F.array().cast("array<string>")).alias("_cand"))
-    rows = rows.select("*", F.explode("_gold").alias("pos_slot"))
     parts = [F.col(k).cast("string") for k in (*keys, "turn_no")]
-    fine = lambda s: ~F.array_contains("_gold", s) & (F.lit(True) if held_out is None else S.domain_of(s) != held_out)
-    own_domain, own_type = S.domain_of(F.col("pos_slot")), S.type_of(F.col("pos_slot"))
-    other = lambda s: (S.type_of(s) == own_type) & (S.domain_of(s) != own_domain)
-    alike = lambda s: (S.domain_of(s) == own_domain) & (S.type_of(s) != own_type)
+    fine = lambda f: ~F.array_contains("_gold", f["slot"]) & (F.lit(True) if held_out is None else f["domain"] != held_out)
+    ranked = F.filter(F.transform("_cand", lambda s, i: F.struct(fact(s).alias("fact"), i.alias("at"))), lambda r: fine(r["fact"]))
+    rest = F.filter(universe, lambda f: fine(f) & ~F.array_contains("_cand", f["slot"]))
+    rows = computed_once(rows, _ranked=ranked, _rest=rest, _fine=F.filter(universe, fine))
+    rows = computed_once(rows.select("*", F.explode("_gold").alias("pos_slot")), _own=fact(F.col("pos_slot")))
+    other = lambda f: (f["kind"] == F.col("_own.kind")) & (f["domain"] != F.col("_own.domain"))
+    alike = lambda f: (f["domain"] == F.col("_own.domain")) & (f["kind"] != F.col("_own.kind"))
 
     def pool(kind: str, keep, tag: str) -> Column:
         """tier, rank, slot of everything that may be taken, best first."""
-        ranked = F.transform("_cand", lambda s, i: F.struct(F.when(i < TOP_CANDIDATES, 0).otherwise(1 if kind == "B" else 0).alias("tier"), F.lpad(i.cast("string"), 32, "0").alias("rank"), s.alias("slot")))
-        rest = F.transform(F.filter(universe, lambda s: ~F.array_contains("_cand", s)), lambda s: F.struct(F.lit(2).alias("tier"), F.md5(F.concat_ws("|", F.lit(seed), *parts, F.lit(tag), "pos_slot", s)).alias("rank"), s.alias("slot")))
-        return F.array_sort(F.filter(F.concat(ranked, rest), lambda r: fine(r["slot"]) & keep(r["slot"])))
-
-    anything = F.array_sort(F.transform(F.filter(universe, fine), lambda s: F.struct(F.lit(3).alias("tier"), F.md5(F.concat_ws("|", F.lit(seed), *parts, F.lit("any"), "pos_slot", s)).alias("rank"), s.alias("slot"))))
-    rows = rows.withColumn("_a", F.get(pool("A", other, "negA"), F.lit(0))["slot"]).withColumn("_b", F.transform(F.concat(pool("B", alike, "negB"), anything), lambda r: r["slot"]))
-    rest = F.filter(F.array_distinct("_b"), lambda s: F.coalesce(s != F.col("_a"), F.lit(True)))
-    one, two = F.get(rest, F.lit(0)), F.get(rest, F.lit(1))
+        first = F.transform(F.filter("_ranked", lambda r: keep(r["fact"])), lambda r: F.struct(F.when(r["at"] < TOP_CANDIDATES, 0).otherwise(1 if kind == "B" else 0).alias("tier"), F.lpad(r["at"].cast("string"), 32, "0").alias("rank"), r["fact"]["slot"].alias("slot")))
+        others = F.transform(F.filter("_rest", keep), lambda f: F.struct(F.lit(2).alias("tier"), F.md5(F.concat_ws("|", F.lit(seed), *parts, F.lit(tag), "pos_slot", f["slot"])).alias("rank"), f["slot"].alias("slot")))
+        return F.array_sort(F.concat(first, others))
+
+    anything = F.array_sort(F.transform("_fine", lambda f: F.struct(F.lit(3).alias("tier"), F.md5(F.concat_ws("|", F.lit(seed), *parts, F.lit("any"), "pos_slot", f["slot"])).alias("rank"), f["slot"].alias("slot"))))
+    rows = computed_once(rows, _a=F.get(pool("A", other, "negA"), F.lit(0))["slot"], _b=F.transform(pool("B", alike, "negB"), lambda r: r["slot"]))
+    ranked_b = F.when(F.size("_b") > 2, F.col("_b")).otherwise(F.concat("_b", F.transform(anything, lambda r: r["slot"])))  # the last resort only where it can be needed
+    rows = computed_once(rows, _left=F.filter(F.array_distinct(ranked_b), lambda s: F.coalesce(s != F.col("_a"), F.lit(True))))
+    one, two = F.get("_left", F.lit(0)), F.get("_left", F.lit(1))
     sample = lambda s, kind, label: F.struct(s.alias("slot"), F.lit(kind).alias("sample_type"), F.lit(label).alias("label"))
     kind_b = "neg_same_domain_diff_type"
     first = F.when(F.col("_a").isNotNull(), sample(F.col("_a"), "neg_same_type_diff_domain", "no")).when(one.isNotNull(), sample(one, kind_b, "no"))

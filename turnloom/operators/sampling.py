@@ -103,6 +103,7 @@ def negative_candidates(active: Column, slots: DataFrame, keys: list[str], seed:
     homonyms = {s: [h for h in TAXI_HOMONYMS if h in universe] for s in ("taxi-departure", "taxi-destination") if s in universe}
     empty = F.array().cast("array<string>")
     act = F.coalesce(active, empty)
+    domains = F.array_distinct(F.transform(act, S.domain_of))
     parts = [F.col(k).cast("string") for k in keys]
 
     def named(table: dict[str, list[str]], s: str) -> Column:
@@ -113,7 +114,7 @@ def negative_candidates(active: Column, slots: DataFrame, keys: list[str], seed:
     for s in universe:
         enemy = named(enemies, s)
         first = enemy | named(homonyms, s)
-        same = F.array_contains(F.transform(act, S.domain_of), split.get(s, [""])[0])
+        same = F.array_contains(domains, split.get(s, [""])[0])
         tier = F.when(first, 0).when(same, 1).otherwise(2)
         weight = F.lit(float(SLOT_WEIGHTS.get(s, 1))) * F.when(enemy & ~first, CONFUSION_BOOST).otherwise(1.0)
         rows.append(F.when(~F.array_contains(act, s), F.struct(tier.alias("tier"), sampling_key(weight, F.lit(seed), *parts, F.lit(s)).alias("key"), F.lit(s).alias("slot"))))

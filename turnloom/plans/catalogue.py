@@ -12,7 +12,7 @@ from turnloom.functions import text as X
 from turnloom.operators import coref, evaluate, graph, memory, pairs, prompts, retrieve, sampling, splits, state, turns
 from turnloom.operators.packed import label_values
 from turnloom.plans import sql as Q
-from turnloom.runtime import small, table
+from turnloom.runtime import small, spread, table
 from turnloom.sources import readers
 from turnloom.streaming import rolling
 
@@ -264,34 +264,34 @@ of_dialogues(
     .select("rec_id", "turn_no", F.explode(graph.event_edges(F.col("taklabels"), graph.task_labels(F.col("taklabels"), F.col("_s"), F.col("turn_no")))).alias("e"))
     .select("rec_id", "turn_no", F.col("e.rel").alias("rel"), F.coalesce("e.src.id", "e.src.slot", "e.src.t").alias("src"), F.coalesce("e.dst.id", "e.dst.slot").alias("dst"), F.coalesce("e.dst.value", F.lit("")).alias("value")),
 )
-query("graph_store_build")(lambda spark, sf_dir: graph.graph_store(dialogues(spark, sf_dir), slots(spark, sf_dir)).select("rec_id", "turn_no", "graph_id", joined("labels_for_retrieval"), joined("slots"), F.size("edges").alias("n_edges")))
+query("graph_store_build")(lambda spark, sf_dir: graph.graph_store(spread(dialogues(spark, sf_dir)), slots(spark, sf_dir)).select("rec_id", "turn_no", "graph_id", joined("labels_for_retrieval"), joined("slots"), F.size("edges").alias("n_edges")))
 
 
 @query("edge_filter")
 def edge_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The numbered edge lines of every slot of every stored turn graph."""
-    g = graph.graph_store(dialogues(spark, sf_dir), slots(spark, sf_dir))
+    g = graph.graph_store(spread(dialogues(spark, sf_dir)), slots(spark, sf_dir))
     rows = g.select("rec_id", "turn_no", "edges", "tasklabels", F.explode("slots").alias("slot"))
     label = F.get(F.filter("tasklabels", lambda t: t["slot"] == F.col("slot")), F.lit(0))["label"]
     return rows.select("rec_id", "turn_no", "slot", F.array_join(graph.edge_lines(F.col("edges"), F.col("slot"), (*graph.POSITIVE, *graph.NEGATIVE), F.coalesce(label, F.lit("none"))), "\n").alias("lines"))
 
 
 query("slot_events_of_graphs")(lambda spark, sf_dir: graph.slot_event(graph.graph_store(dialogues(spark, sf_dir), slots(spark, sf_dir)).withColumn("slot", F.explode("slots")), "slot").select("rec_id", "turn_no", "slot", "label", "from_slot", "from_turn", "prev", "curr", "carry", "neg_type"))
-query("activation_samples")(lambda spark, sf_dir: pairs.activation_samples(dialogues(spark, sf_dir), slots(spark, sf_dir)))
-query("surface_mentions")(lambda spark, sf_dir: pairs.surface_mentions(dialogues(spark, sf_dir), slots(spark, sf_dir)))
-query("preference_pairs")(lambda spark, sf_dir: pairs.preference_pairs(dialogues(spark, sf_dir), slots(spark, sf_dir)))
+query("activation_samples")(lambda spark, sf_dir: pairs.activation_samples(spread(dialogues(spark, sf_dir)), slots(spark, sf_dir)))
+query("surface_mentions")(lambda spark, sf_dir: pairs.surface_mentions(spread(dialogues(spark, sf_dir)), slots(spark, sf_dir)))
+query("preference_pairs")(lambda spark, sf_dir: pairs.preference_pairs(spread(dialogues(spark, sf_dir)), slots(spark, sf_dir)))
 
 
 @query("pair_layouts")
 def pair_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d, s = dialogues(spark, sf_dir), slots(spark, sf_dir)
+    d, s = spread(dialogues(spark, sf_dir)), slots(spark, sf_dir)
     asked = prompts.action_prompts(pairs.preference_pairs(d, s), turns.contexts(d, 1), s)
     return pairs.pair_layout(asked, "openai").select(F.to_json("messages").alias("messages"), F.to_json("chosen").alias("chosen"), F.to_json("rejected").alias("rejected"))
 
 
 @query("render_prompt")
 def render_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d, s = dialogues(spark, sf_dir), slots(spark, sf_dir)
+    d, s = spread(dialogues(spark, sf_dir)), slots(spark, sf_dir)
     return prompts.activation_prompts(pairs.activation_samples(d, s), d, s).select("rec_id", "turn_no", "pos_slot", "sample_no", "gate", "prompt", "label")
 
 

@@ -64,5 +64,11 @@ def small(df: DataFrame, most: int) -> list:
     return rows
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores if it has fewer partitions than there are; large tables stay as they are."""
+    wanted = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(wanted) if df._jdf.queryExecution().toRdd().getNumPartitions() < wanted else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")

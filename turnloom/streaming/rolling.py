@@ -1,7 +1,7 @@
 """Predicting along a dialogue, each step seeing the state its predictions made.
 
-The steps of one dialogue depend on each other, dialogues don't: a dialogue is one
-group in batch (``rolling_batch``) and one key with state in a stream
+The steps of one dialogue depend on each other, dialogues don't: a dialogue is a run
+of sorted rows in batch (``rolling_batch``) and one key with state in a stream
 (``rolling_stream``). Both run the same step function.
 """
 
@@ -49,15 +49,26 @@ def _steps(state: dict[str, str], rows: list[dict[str, Any]], predict: Predictor
 
 
 def rolling_batch(turns: DataFrame, predict: Predictor = carry_predictor, *, key: str = "rec_id") -> DataFrame:
-    """key, turn_no, predicted, state of every turn. A dialogue's turns are bounded, so a group fits a task."""
+    """key, turn_no, predicted, state of every turn.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values("turn_no", kind="stable").to_dict("records")
-        name = str(rows[0][key])
-        _, out = _steps({}, rows, predict)
-        return pd.DataFrame({"key": [name] * len(out), "turn_no": [o[0] for o in out], "predicted": [o[1] for o in out], "state": [o[2] for o in out]})
+    Rows come sorted by dialogue and turn, so one pass over a partition carries the state
+    from row to row and starts anew with each dialogue, whatever the dialogues' lengths.
+    """
 
-    return turns.groupBy(key).applyInPandas(run, OUT)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, state = object(), {}
+        for pdf in batches:
+            out: list[tuple[str, int, dict[str, str], dict[str, str]]] = []
+            for row in pdf.to_dict("records"):
+                name = None if pd.isna(row[key]) else str(row[key])
+                if name != now:
+                    now, state = name, {}
+                state, (done,) = _steps(state, [row], predict)
+                out.append((name, *done))
+            if out:
+                yield pd.DataFrame({c: pd.Series(v, dtype=object) for c, v in zip(("key", "turn_no", "predicted", "state"), zip(*out))})
+
+    return turns.repartition(key).sortWithinPartitions(key, "turn_no").mapInPandas(run, OUT)
 
 
 def rolling_stream(turns: DataFrame, predict: Predictor = carry_predictor, *, key: str = "rec_id", timeout: str | None = None) -> DataFrame:
