@@ -42,18 +42,24 @@ LEAST_COUNT = 5
 #: A word must occur in this share of all sentences, so the vocabulary has at most words-per-sentence / LEAST_SHARE words.
 LEAST_SHARE = 2e-5
 EXAMPLE_WEIGHT = 3.0
-SMOOTH = 20.0
+#: A word met so often is believed by half; no word is believed beyond LEAST_DOUBT.
+SMOOTH = 10.0
+LEAST_DOUBT = 0.005
+#: So many words that speak for subjects count fully in a sentence.
+EVIDENCE = 3.0
+#: Sentences of each topic that a document is taken to have besides its own.
+PRIOR = 0.03
 COMPOSED = 4000
 #: Labelled texts read to the driver; a larger table is refused, not cut.
 MOST_EXAMPLES = 100_000
 BEAM = 8
 #: Texts a worker holds as word lists at once.
 CHUNK = 1000
-MISSED = 0.06
+MISSED = 0.02
 
-_TAG = re.compile(r"^\s*(?:\d+[.)]\s+|[-*\u2022\u2013]\s+)*(?:\[\w+\]\s*|\w{1,10}\s*:\s+|\w{1,10}\s+[-\u2013\u2014]\s+|[-*\u2022\u2013]\s+|\d+[.)]\s+)*")
+_TAG = re.compile(r"^\s*(?:\d+[.)]\s+|[-*•–]\s+)*(?:\[\w+\]\s*|\w{1,10}(?:\s*[^\w\s:]+)?\s*:\s+|\w{1,10}(?:\s+[^\w\s]+)?\s+[-–—]\s+|[-*•–]\s+|\d+[.)]\s+)*")
 _LINES = re.compile("[\r\n\v\f\x85\u2028\u2029]+")
-_BREAK = re.compile(r"(?<=[.!?])[\"'\u201d\u2019)\]]*\s+(?=\W*[^\W_])")
+_BREAK = re.compile(r"(?<=[.!?])[\"'”’)\]]*\s+(?=\W*[^\W_])|(?<=[^\W\d_]{2}[.!?])(?=[^\W\d_]+[\s'])")
 _END = re.compile(r"[.!?]\W*$")
 _WORD = re.compile(r"(?<![\d\w])[^\W\d_]+(?:-[^\W\d_]+)*(?![\d\w])")
 
@@ -89,11 +95,13 @@ class Topics:
     def __init__(self, vocabulary: dict[str, int], counts: np.ndarray, first: bool):
         self.vocabulary, self.k = vocabulary, counts.shape[1]
         totals = counts.sum(axis=1)
-        background = (totals + 0.1) / (totals.sum() + 0.1 * len(totals))
         seen = totals > 0
-        weights = np.log((counts + SMOOTH * background[:, None]) / (counts.sum(axis=0) + SMOOTH)[None, :]) - np.log(background)[:, None]
+        prior = (counts.sum(axis=0) + 1.0) / (counts.sum() + self.k)
+        doubt = np.clip(SMOOTH / (SMOOTH + totals), LEAST_DOUBT, 1.0)[:, None]  # few counts say little about the topics not met
+        weights = np.log((1 - doubt) * counts / np.maximum(totals, 1e-12)[:, None] + doubt * prior[None, :]) - np.log(prior)
         subject = counts[:, :-1].sum(axis=1)
-        plain = np.log((subject + SMOOTH * background) / (subject.sum() + SMOOTH)) - np.log(background)
+        of_subjects = prior[:-1].sum()
+        plain = np.log((1 - doubt[:, 0]) * subject / np.maximum(totals, 1e-12) + doubt[:, 0] * of_subjects) - np.log(of_subjects)
         share = counts[:, :-1] / np.maximum(counts[:, :-1].sum(axis=0), 1.0)
         share = share / np.maximum(share.sum(axis=1, keepdims=True), 1e-12)
         ranked = np.sort(share, axis=1)
@@ -118,13 +126,15 @@ class Topics:
     def posterior(self, index: np.ndarray, ends: np.ndarray, document: np.ndarray, n: int) -> np.ndarray:
         """Topic probabilities of each sentence; ``document`` numbers the sentences' documents."""
         own = self.sums(index, ends, self.weights)
-        mix = np.full((n, self.k), 1.0 / self.k)
+        own *= (EVIDENCE / np.maximum(EVIDENCE, self.sums(index, ends, self.speaks).sum(axis=1)))[:, None]  # words of a set phrase aren't independent
+        mix = np.full((len(own), self.k), 1.0 / self.k)
         for _ in range(4):
-            p = own + np.log(mix[document])
+            p = own + np.log(mix)
             p = np.exp(p - p.max(axis=1, keepdims=True))
             p /= p.sum(axis=1, keepdims=True)
             held = np.stack([np.bincount(document, weights=p[:, k], minlength=n) for k in range(self.k)], axis=1)
-            mix = (held + 0.15) / (held.sum(axis=1, keepdims=True) + 0.15 * self.k)
+            mix = np.maximum(held[document] - p, 0.0) + PRIOR  # the document without the sentence, so that a sentence doesn't vouch for itself
+            mix /= mix.sum(axis=1, keepdims=True)
         return p
 
     def counts(self, index: np.ndarray, ends: np.ndarray, p: np.ndarray) -> np.ndarray:
@@ -209,7 +219,7 @@ def compose(topic: np.ndarray, k: int, seed: int = 7) -> tuple[list[np.ndarray],
     documents, labels = [], []
     for _ in range(COMPOSED if len(usable) else 0):
         n = int(rng.integers(3, 40))
-        mains = rng.choice(usable, size=min(len(usable), int(rng.choice([0, 1, 2, 3], p=[0.1, 0.45, 0.25, 0.2]))), replace=False)
+        mains = rng.choice(usable, size=min(len(usable), int(rng.choice([0, 1, 2, 3], p=[0.15, 0.4, 0.25, 0.2]))), replace=False)
         plan, at, used = np.full(n, k - 1), rng.permutation(n), 0
         for s in mains:
             take = max(int(np.ceil(n * FIFTH)), int(n * rng.uniform(FIFTH, 0.9 / len(mains))))
