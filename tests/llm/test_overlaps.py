@@ -88,6 +88,22 @@ def test_pairs_match_brute_force(spark, dialogues):
     assert sum(r["n_pairs"] for r in report.values()) == len(want)
 
 
+def test_large_group_of_near_copies(spark, dialogues):
+    rng = np.random.default_rng(11)
+    base = conversation(rng, 120)
+    copies = [[w if rng.random() > part else WORDS[rng.integers(0, len(WORDS))] for w in base] for part in rng.choice([0.03, 0.06, 0.1, 0.14], 2000)]
+    training, evaluated = copies[:40], copies[40:]
+    got = {(r["train_rec"], r["eval_rec"]): r["common"] for r in overlapping_records(dialogues([(i, {"split": "train" if i < 40 else "test", "source": "a", "turns": as_turns(w)}) for i, w in enumerate(copies)])).collect()}
+    ids = {w: i for i, w in enumerate(WORDS)}
+    want = {}
+    for i, a in enumerate(training):
+        for j, b in enumerate(evaluated, 40):
+            common = common_words([ids[w] for w in a], [ids[w] for w in b])
+            if common >= 0.75 * 120:
+                want[i, j] = common
+    assert got == want and 20_000 < len(want) < 40 * len(evaluated)
+
+
 def test_empty_tables(spark, dialogues):
     df = dialogues([(1, {"split": "train", "turns": [{"user": "only training here today"}]})])
     assert overlapping_records(df).collect() == [] and overlapping_records(df.limit(0)).collect() == []

@@ -2,26 +2,25 @@
 
 Conversations are taken as word sequences (case, punctuation and white space
 aside); equal ones are one class, so copies cost nothing. The evaluation classes
-are cut into shards of bounded size, and of each shard a compressed full-text
-index is stored: the Burrows-Wheeler transform of its words as sorted occurrence
-lists, with the suffix array. Training classes stream through the shards by
-backward search, many positions at once: from each position a match grows to the
-left until it is rare (at most ``RARE`` occurrences in the shard) or can't grow
-on, which makes it maximal. Its places in the shard are merged to spans on
-common diagonals, the words covered are counted per pair of classes, and pairs
-with enough of them are checked exactly: the longest common subsequence must
-hold ``SHARE`` of the longer conversation's words.
-
-Short conversations are looked up by their rarest words, one more than may be
-missing, in a further index of short ones (a prefix filter on both sides), which
-finds all their partners.
-A match that stays frequent and can't grow is followed to all its places if it
-is ``LONG`` words or a whole conversation, so groups of many near copies are
-found too. There is no cap on the places of a match or on the partners of a record.
+are cut into shards of bounded size, and of each shard a full-text index is
+stored: the Burrows-Wheeler transform of its words as sorted occurrence lists,
+the suffix array, and each word's token. Training classes stream through the
+shards, and pairs with enough words in common are checked exactly: the longest
+common subsequence must hold ``SHARE`` of the longer conversation's words.
+
+Candidates come from a prefix filter on both sides, which loses no pair. Tokens
+are words with their occurrence number in the text, so two texts with ``c``
+words in common, in order or not, have ``c`` tokens in common, and all tokens of
+a shard have one order, the rarest first. A text of ``n`` words lacks at most
+``n - c`` of the common ones, so the first ``k`` common tokens are among its first
+``n - c + k``; with ``c`` at its least for either text, both prefixes hold ``k`` of
+them. Pairs with ``k`` tokens of their prefixes in common have all their common
+tokens counted, which is a bound for the subsequence. Groups of near copies need
+no care: there is no cap on the places of a token or on the partners of a record.
 
 The indexes are files in the shared folder, read by the workers through
-pyarrow's file systems. Work: words of the training split times shards; a shard
-holds ``SHARD_WORDS`` words.
+pyarrow's file systems. Work: places of the training prefixes' tokens in the
+prefixes of conversations of like length; a shard holds ``SHARD_WORDS`` words.
 
 Defined results: records with null or empty turns, without words or without a
 split are in no pair; null utterances and the markers for "no system turn" have
@@ -46,17 +45,14 @@ SHARE = 0.75
 SHARD_WORDS = 3_000_000
 TASK_WORDS = 500_000
 BATCH_WORDS = 60_000
-RARE = 24
-LONG = 12
-LEAST = 4
-STRIDE = 2
-#: Places of matches followed at once in a worker (those of one text at least); bounds its memory, drops nothing.
+#: Common tokens of two prefixes that make a pair a candidate, as a part of the shorter one's words. More make prefixes
+#: longer and candidates fewer; none is lost whatever the number.
+MET = 0.15
+#: Places of tokens followed at once in a worker (those of one text at least), and texts times conversations counted at
+#: once; they bound its memory, drop nothing.
 HITS = 400_000
-#: Part of the longer conversation's words that spans must cover before the exact check.
-COVERED = 0.1
-#: Conversations of at most so many words have too few places for seeds: their rarest words are looked up instead,
-#: in an index of the conversations that are short enough, as many as must hold one word of any partner.
-SHORT = 32
+CELLS = 4_000_000
+CHECKED = 2_000
 
 
 def conversation_words(turns: Column) -> Column:
@@ -84,10 +80,26 @@ def suffix_array(words: np.ndarray, longest: int) -> np.ndarray:
             return order.astype(np.int32)
 
 
+def occurrence(words: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """For each word how often its text had it before."""
+    order = np.lexsort((words, doc))
+    new = np.ones(len(words), dtype=bool)
+    new[1:] = (words[order][1:] != words[order][:-1]) | (doc[order][1:] != doc[order][:-1])
+    firsts = np.flatnonzero(new)
+    out = np.empty(len(words), dtype=np.int64)
+    out[order] = np.arange(len(words)) - np.repeat(firsts, np.diff(np.append(firsts, len(words))))
+    return out
+
+
+def wanted(sizes: np.ndarray, share: float) -> np.ndarray:
+    """How many common tokens a text's prefix is long enough for; any number from 1 to the common words needed keeps the filter exact."""
+    return np.maximum(1, np.minimum(np.ceil(sizes * MET), np.ceil(sizes * share))).astype(np.int64)
+
+
 class ShardIndex:
-    """Full-text index over some conversations; word 0 separates them."""
+    """Full-text index over some conversations; word 0 separates them. A word's token tells its occurrences in a text apart."""
 
-    def __init__(self, names: list[str], vocabulary: list[str], words: np.ndarray, order: np.ndarray, occurrences: np.ndarray, first: np.ndarray):
+    def __init__(self, names: list[str], vocabulary: list[str], words: np.ndarray, order: np.ndarray, occurrences: np.ndarray, first: np.ndarray, tokens: np.ndarray, token_keys: np.ndarray, token_ranks: np.ndarray):
         self.names, self.words, self.order = names, words, order
         self.ids = {w: i + 1 for i, w in enumerate(vocabulary)}
         self.first, self.n = first, len(words)
@@ -96,7 +108,8 @@ class ShardIndex:
         ends = np.flatnonzero(words == 0)
         self.starts = np.concatenate([[0], ends[:-1] + 1]) if len(ends) else np.zeros(0, dtype=np.int64)
         self.ends = ends
-        self.marks: dict[float, np.ndarray] = {}
+        self.tokens, self.token_keys, self.token_ranks = tokens, token_keys, token_ranks
+        self.prefixes: dict[float, tuple[np.ndarray, np.ndarray]] = {}
 
     @classmethod
     def build(cls, names: list[str], texts: list[str]) -> ShardIndex:
@@ -107,122 +120,102 @@ class ShardIndex:
         before = words[order - 1]  # the transform; the row of suffix 0 wraps round to a separator
         occurrences = np.argsort(before, kind="stable").astype(np.int32)
         first = np.concatenate([[0], np.cumsum(np.bincount(words, minlength=len(ids) + 1))]).astype(np.int64)
-        return cls(names, list(ids), words, order, occurrences, first)
+        doc = np.cumsum(words == 0) - (words == 0)
+        own = words != 0
+        token_keys, which, n = np.unique(words[own].astype(np.int64) << 32 | occurrence(words[own], doc[own]), return_inverse=True, return_counts=True)
+        token_ranks = np.empty(len(token_keys), dtype=np.int32)
+        token_ranks[np.argsort(n, kind="stable")] = np.arange(len(token_keys), dtype=np.int32)
+        tokens = np.full(len(words), -1, dtype=np.int32)
+        tokens[own] = token_ranks[which]
+        return cls(names, list(ids), words, order, occurrences, first, tokens, token_keys, token_ranks)
 
     def dump(self) -> bytes:
         out = io.BytesIO()
         occurrences = (self.keys - np.repeat(np.arange(len(self.first) - 1, dtype=np.int64), np.diff(self.first)) * (self.n + 1)).astype(np.int32)
         text = lambda x: np.frombuffer("\n".join(x).encode(), dtype=np.uint8)
-        np.savez_compressed(out, names=text(self.names), vocabulary=text(self.ids), words=self.words, order=self.order, occurrences=occurrences, first=self.first)
+        np.savez_compressed(out, names=text(self.names), vocabulary=text(self.ids), words=self.words, order=self.order, occurrences=occurrences, first=self.first, tokens=self.tokens, token_keys=self.token_keys, token_ranks=self.token_ranks)
         return out.getvalue()
 
     @classmethod
     def load(cls, payload: bytes) -> ShardIndex:
         with np.load(io.BytesIO(payload)) as z:
             lines = lambda x: bytes(x).decode().split("\n")
-            return cls(lines(z["names"]), lines(z["vocabulary"]), z["words"], z["order"], z["occurrences"], z["first"])
+            return cls(lines(z["names"]), lines(z["vocabulary"]), z["words"], z["order"], z["occurrences"], z["first"], z["tokens"], z["token_keys"], z["token_ranks"])
 
     def step(self, symbol: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """One backward step: the rows whose suffix begins with ``symbol`` and goes on as the rows from lo to hi do."""
         base = symbol.astype(np.int64) * (self.n + 1)
         return np.searchsorted(self.keys, base + lo), np.searchsorted(self.keys, base + hi)
 
-    def matches(self, words: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(end, length, lo, hi) of the rare or maximal match to the left of every ``STRIDE``-th position; ``start``: the first position of each word's text."""
-        known = words >= 0
-        from_start = np.arange(len(words)) - start
-        end = np.flatnonzero(known & ((from_start % STRIDE == 0) | (np.append(start[1:], len(words)) != start)))
-        at = end.copy()
-        lo, hi = np.zeros(len(end), dtype=np.int64), np.full(len(end), self.n, dtype=np.int64)
-        length = np.zeros(len(end), dtype=np.int64)
-        live = np.arange(len(end))
-        done_long = np.zeros(len(end), dtype=bool)
-        while len(live):
-            p = at[live]
-            inside = (p >= start[end[live]]) & (p >= 0)
-            inside[inside] &= known[p[inside]]
-            l2, h2 = lo[live].copy(), hi[live].copy()
-            if inside.any():
-                l2[inside], h2[inside] = self.step(words[p[inside]], lo[live][inside], hi[live][inside])
-            grown = inside & (h2 > l2)
-            stuck = live[~grown]
-            done_long[stuck] = (length[stuck] >= LONG) | (at[stuck] < start[end[stuck]]) & (np.append(start[1:], len(words))[end[stuck]] != start[end[stuck]])
-            moved = live[grown]
-            lo[moved], hi[moved] = l2[grown], h2[grown]
-            length[moved] += 1
-            at[moved] -= 1
-            live = moved[((hi[moved] - lo[moved]) > RARE) | (length[moved] < LEAST)]
-        kept = np.flatnonzero((length > 0) & (((hi - lo <= RARE) & (length >= LEAST)) | done_long))
-        return end[kept], length[kept], lo[kept], hi[kept]
-
-    def rarest(self, words: np.ndarray, doc: np.ndarray, sizes: np.ndarray, share: float) -> np.ndarray:
-        """The places of each text's rarest words, as many as two texts with ``share`` common words must have one in common."""
-        n = np.where(words >= 0, self.first[np.maximum(words, 0) + 1] - self.first[np.maximum(words, 0)], 0)
-        order = np.lexsort((words, n, doc))
-        place = np.arange(len(words)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        kept = order[place < (sizes - np.ceil(sizes * share) + 1)[doc[order]]]
-        return np.sort(kept[n[kept] > 0])
-
-    def looked_up(self, share: float) -> np.ndarray:
-        """Which places of the shard's own texts are among their rarest words."""
-        if share not in self.marks:
+    def prefix(self, tokens: np.ndarray, doc: np.ndarray, sizes: np.ndarray, share: float) -> np.ndarray:
+        """The places of each text's prefix: its rarest tokens, in the order of their ranks in the shard."""
+        order = np.lexsort((tokens, doc))
+        place = np.arange(len(tokens)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        return order[place < (sizes - np.ceil(sizes * share).astype(np.int64) + wanted(sizes, share))[doc[order]]]
+
+    def looked_up(self, share: float) -> tuple[np.ndarray, np.ndarray]:
+        """(rank, conversation by length) of the tokens in the prefixes of the shard's own texts, as sorted keys, and the conversations by length."""
+        if share not in self.prefixes:
             own = np.flatnonzero(self.words != 0)
             sizes = self.ends - self.starts
-            self.marks[share] = np.zeros(self.n, dtype=bool)
-            self.marks[share][own[self.rarest(self.words[own], np.repeat(np.arange(len(sizes)), sizes), sizes, share)]] = True
-        return self.marks[share]
-
-    def candidates(self, words: np.ndarray, doc: np.ndarray, start: np.ndarray, sizes: np.ndarray, short: float = 0.0) -> list[tuple[int, int]]:
-        """Pairs (text of the batch, conversation of the shard) whose merged spans cover enough words; ``short``: the share for looking up rare words, any cover being enough."""
-        if short:
-            end = self.rarest(words, doc, sizes, short)
-            length, lo, hi = np.ones(len(end), dtype=np.int64), self.first[words[end]], self.first[words[end] + 1]
-            marks = self.looked_up(short)
-        else:
-            end, length, lo, hi = self.matches(words, start)
-            marks = None
-        out: list[tuple[int, int]] = []
-        edges = np.searchsorted(doc[end], np.arange(len(sizes) + 1))  # the matches of each text, a few texts at a time
-        hits = np.concatenate([[0], np.cumsum(hi - lo)])[edges]
+            doc = np.repeat(np.arange(len(sizes)), sizes)
+            by_length = np.argsort(sizes, kind="stable")
+            at = np.empty(len(sizes), dtype=np.int64)
+            at[by_length] = np.arange(len(sizes))
+            kept = self.prefix(self.tokens[own], doc, sizes, share)
+            self.prefixes[share] = np.sort(self.tokens[own[kept]].astype(np.int64) * len(sizes) + at[doc[kept]]), by_length
+        return self.prefixes[share]
+
+    def ranked(self, words: np.ndarray, doc: np.ndarray) -> np.ndarray:
+        """The rank in the shard of each word's token, -1 if the shard doesn't have it."""
+        if not len(self.token_keys):
+            return np.full(len(words), -1, dtype=np.int64)
+        key = np.where(words >= 0, words.astype(np.int64) << 32 | occurrence(words, doc), -1)
+        at = np.minimum(np.searchsorted(self.token_keys, key), len(self.token_keys) - 1)
+        return np.where(self.token_keys[at] == key, self.token_ranks[at], -1).astype(np.int64)
+
+    def candidates(self, words: np.ndarray, doc: np.ndarray, sizes: np.ndarray, share: float = SHARE) -> Iterator[tuple[int, int]]:
+        """All pairs (text of the batch, conversation of the shard) with at least ``share`` of the longer one's words in common, in any order."""
+        keys, by_length = self.looked_up(share)
+        lengths = (self.ends - self.starts)[by_length]
+        n = len(lengths)
+        tokens = self.ranked(words, doc)
+        kept = self.prefix(tokens, doc, sizes, share)
+        kept = kept[tokens[kept] >= 0]
+        source = doc[kept]
+        shortest = np.searchsorted(lengths, share * sizes)  # a window of conversations that are neither too short nor too long
+        longest = np.searchsorted(share * lengths, sizes, side="right")
+        lo = np.searchsorted(keys, tokens[kept] * n + shortest[source])
+        count = np.maximum(0, np.searchsorted(keys, tokens[kept] * n + longest[source]) - lo)
+        edges = np.searchsorted(source, np.arange(len(sizes) + 1))  # the prefix of each text, a few texts at a time
+        hits = np.concatenate([[0], np.cumsum(count)])[edges]
+        first = np.cumsum(sizes) - sizes
+        least, least_there = wanted(sizes, share), wanted(lengths, share)
+        held = np.zeros(len(self.token_keys), dtype=bool)
         at = 0
         while at < len(sizes):
-            to = max(at + 1, int(np.searchsorted(hits, hits[at] + HITS, side="right")) - 1)
+            to = max(at + 1, min(int(np.searchsorted(hits, hits[at] + HITS, side="right")) - 1, at + max(1, CELLS // n)))
             part = slice(edges[at], edges[to])
-            if part.stop > part.start:
-                out += self._merged(end[part], length[part], lo[part], hi[part], doc, start, sizes, short, marks)
+            c, total = count[part], int(hits[to] - hits[at])
+            if total:
+                rows = np.arange(total) + np.repeat(lo[part] - (np.cumsum(c) - c), c)
+                met = keys[rows] - np.repeat(tokens[kept[part]] * n - (source[part] - at) * n, c)
+                together = np.bincount(met, minlength=(to - at) * n).reshape(to - at, n)
+                mine, there = np.nonzero(together >= np.minimum(least[at:to, None], least_there[None, :]))
+                bounds = np.searchsorted(mine, np.arange(to - at + 1))
+                for s in range(at, to):
+                    pairs = by_length[there[bounds[s - at] : bounds[s - at + 1]]]
+                    own = tokens[first[s] : first[s] + sizes[s]]
+                    own = own[own >= 0]
+                    held[own] = True
+                    for some in np.array_split(pairs, math.ceil(len(pairs) / CHECKED)) if len(pairs) else ():
+                        size = self.ends[some] - self.starts[some]
+                        begin = np.cumsum(size) - size
+                        places = np.arange(size.sum()) + np.repeat(self.starts[some] - begin, size)
+                        common = np.add.reduceat(held[self.tokens[places]].astype(np.int64), begin)
+                        yield from ((s, int(t)) for t in some[common >= share * np.maximum(size, sizes[s])])
+                    held[own] = False
             at = to
-        return out
-
-    def _merged(self, end: np.ndarray, length: np.ndarray, lo: np.ndarray, hi: np.ndarray, doc: np.ndarray, start: np.ndarray, sizes: np.ndarray, short: float, marks: np.ndarray | None) -> list[tuple[int, int]]:
-        """The matches' places as spans on diagonals, and the pairs they cover enough of."""
-        count = hi - lo
-        which = np.repeat(np.arange(len(end)), count)
-        place = self.order[np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(lo, count)].astype(np.int64)
-        if marks is not None:
-            which, place = which[marks[place]], place[marks[place]]
-        there, source = np.searchsorted(self.ends, place), doc[end[which]]
-        size, own = (self.ends - self.starts)[there], sizes[source]
-        fit = np.minimum(size, own) >= (short or SHARE) * np.maximum(size, own)
-        which, place, there, source = which[fit], place[fit], there[fit], source[fit]
-        if not len(which):
-            return []
-        mine = end[which] - length[which] + 1
-        diagonal = (place - self.starts[there]) - (mine - start[end[which]])
-        by = np.lexsort((mine, diagonal, there, source))
-        source, there, diagonal, mine, stop = source[by], there[by], diagonal[by], mine[by], end[which][by] + 1
-        new = np.ones(len(by), dtype=bool)
-        new[1:] = (source[1:] != source[:-1]) | (there[1:] != there[:-1]) | (diagonal[1:] != diagonal[:-1])
-        group, wide = np.cumsum(new) - 1, len(doc) + 1
-        far = np.maximum.accumulate(stop + group * wide) - group * wide  # the furthest end so far on this diagonal
-        reached = np.where(new, mine, np.concatenate([[0], far[:-1]]))
-        gained = np.maximum(0, stop - np.maximum(mine, reached))
-        pair = np.ones(len(by), dtype=bool)
-        pair[1:] = (source[1:] != source[:-1]) | (there[1:] != there[:-1])
-        firsts = np.flatnonzero(pair)
-        covered = np.add.reduceat(gained, firsts)
-        s, t = source[firsts], there[firsts]
-        good = covered >= (0 if short else COVERED) * np.maximum(self.ends[t] - self.starts[t], sizes[s])
-        return list(zip(s[good].tolist(), t[good].tolist()))
 
 
 def common_words(a: list[int], b: list[int]) -> int:
@@ -240,8 +233,8 @@ def common_words(a: list[int], b: list[int]) -> int:
     return len(a) - v.bit_count()
 
 
-def _read_shards(path: str) -> Iterator[tuple[bool, bytes]]:
-    """(is of short conversations, payload) of the folder of index files, one at a time."""
+def _read_shards(path: str) -> Iterator[bytes]:
+    """The indexes in the folder of index files, one at a time."""
     import pyarrow.fs as pafs
     import pyarrow.parquet as pq
 
@@ -255,19 +248,18 @@ def _read_shards(path: str) -> Iterator[tuple[bool, bytes]]:
             with system.open_input_file(info.path) as f:
                 file = pq.ParquetFile(f)
                 for group in range(file.num_row_groups):
-                    for row in file.read_row_group(group, columns=["short", "payload"]).to_pylist():
-                        yield row["short"], row["payload"]
+                    for row in file.read_row_group(group, columns=["payload"]).to_pylist():
+                        yield row["payload"]
 
 
-def index_shards(classes: DataFrame, shards: int, folder: str, share: float = SHARE) -> None:
-    """Write the indexes of each shard of ``classes`` (conv, words, n_words) to ``folder``: of all, and of the short ones."""
+def index_shards(classes: DataFrame, shards: int, folder: str) -> None:
+    """Write the index of each shard of ``classes`` (conv, words) to ``folder``."""
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("conv", kind="stable")
-        parts = {False: pdf, True: pdf[pdf["n_words"] <= SHORT / share]}
-        return pd.DataFrame([(short, ShardIndex.build(part["conv"].tolist(), part["words"].tolist()).dump()) for short, part in parts.items() if len(part)], columns=["short", "payload"])
+        return pd.DataFrame([(ShardIndex.build(pdf["conv"].tolist(), pdf["words"].tolist()).dump(),)], columns=["payload"])
 
-    classes.select("conv", "words", "n_words", F.pmod(F.xxhash64("conv"), F.lit(shards)).alias("shard")).groupBy("shard").applyInPandas(build, "short boolean, payload binary").write.parquet(folder)
+    classes.select("conv", "words", F.pmod(F.xxhash64("conv"), F.lit(shards)).alias("shard")).groupBy("shard").applyInPandas(build, "payload binary").write.parquet(folder)
 
 
 def overlapping_classes(classes: DataFrame, share: float = SHARE) -> DataFrame:
@@ -281,19 +273,15 @@ def overlapping_classes(classes: DataFrame, share: float = SHARE) -> DataFrame:
     if not totals[0] or not totals[1]:
         return spark.createDataFrame([], schema)
     folder = f"{shared_folder(spark).rstrip('/')}/turnloom/evaluation-index-{uuid.uuid4().hex}"
-    index_shards(classes.where("n_eval > 0"), math.ceil(totals[0] / SHARD_WORDS), folder, share)
+    index_shards(classes.where("n_eval > 0"), math.ceil(totals[0] / SHARD_WORDS), folder)
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = [pdf for pdf in batches if len(pdf)]
         if not held:
             return
-        every = [(c, w.split(" ")) for pdf in held for c, w in zip(pdf["conv"], pdf["words"])]
-        parts = {True: [x for x in every if len(x[1]) <= SHORT], False: [x for x in every if len(x[1]) > SHORT]}
-        del held, every
-        for short, payload in _read_shards(folder):
-            said = parts[short]
-            if not said:
-                continue
+        said = [(c, w.split(" ")) for pdf in held for c, w in zip(pdf["conv"], pdf["words"])]
+        del held
+        for payload in _read_shards(folder):
             index = ShardIndex.load(payload)
             get = index.ids.get
             found: list[tuple[str, str, int, int]] = []
@@ -307,15 +295,10 @@ def overlapping_classes(classes: DataFrame, share: float = SHARE) -> DataFrame:
                 words = np.fromiter((get(w, -1) for _, t in said[i:j] for w in t), dtype=np.int32, count=n)
                 first = np.cumsum(sizes) - sizes
                 doc = np.repeat(np.arange(j - i), sizes)
-                for s, t in index.candidates(words, doc, first[doc], sizes, share if short else 0.0):
+                for s, t in index.candidates(words, doc, sizes, share):
                     mine = words[first[s] : first[s] + sizes[s]]
                     other = index.words[index.starts[t] : index.ends[t]]
                     longer = max(len(mine), len(other))
-                    ours, n_ours = np.unique(mine[mine >= 0], return_counts=True)
-                    theirs, n_theirs = np.unique(other, return_counts=True)
-                    _, p, q = np.intersect1d(ours, theirs, assume_unique=True, return_indices=True)
-                    if np.minimum(n_ours[p], n_theirs[q]).sum() < share * longer:
-                        continue
                     common = common_words(mine.tolist(), other.tolist())
                     if common >= share * longer:
                         found.append((said[i + s][0], index.names[t], common, longer))
