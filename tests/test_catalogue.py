@@ -47,6 +47,13 @@ def test_has_rows(spark, name):
     assert catalogue.QUERIES[name](spark, DATA).limit(1).count() == 1
 
 
+def test_reasoning_samples_of_all_events(spark):
+    events = catalogue.turns.event_table(catalogue.dialogues(spark, DATA))
+    got = catalogue.QUERIES["reasoning_samples"](spark, DATA).toPandas()
+    assert len(got) == events.count() and not got.duplicated(["rec_id", "turn_no", "event_no"]).any()
+    assert got[got["rec_id"] % 50 != 0]["input"].str.startswith("(example)").any()
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())

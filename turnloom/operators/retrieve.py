@@ -20,6 +20,10 @@ from turnloom.runtime import small
 
 WIDTH = 64
 BLOCK = 4096
+#: Query events of a label that meet a block of the store at once.
+ASKED = 16_384
+#: Scores computed at once in a worker.
+SCORES = 512 * 4096
 
 
 def _frame(columns: list[str], parts: list[tuple[np.ndarray, ...]]) -> pd.DataFrame:
@@ -129,8 +133,8 @@ def hybrid_retrieval(queries: DataFrame, store: DataFrame, similarities: DataFra
 
     ``queries``: query_id, dial_id, slot, label, vector; ``store``: graph_id, dial_id,
     tasklabels, vector. Turns of the query's own dialogue don't count (a query without
-    a dialogue excludes none). A stored turn goes once to one block of each of its labels;
-    the slot similarities, a fixed table of slots times slots, travel with the function,
+    a dialogue excludes none). A stored turn goes to one block of each of its labels,
+    once for every ``ASKED`` queries of the label; the slot similarities, a fixed table of slots times slots, travel with the function,
     which finds each turn's most similar slot (:func:`best_slots`) for all query slots at once.
     """
     from turnloom.functions.slots import domain_of
@@ -143,9 +147,11 @@ def hybrid_retrieval(queries: DataFrame, store: DataFrame, similarities: DataFra
 
     labelled = store.select("graph_id", F.col("dial_id").alias("_group"), F.col("vector").alias("_v"), F.explode("tasklabels").alias("_e")).where("_e.label is not null and _e.slot is not null")
     held = labelled.groupBy("graph_id", F.col("_e.label").alias("label")).agg(F.first("_group").alias("_group"), F.first("_v").alias("_v"), F.collect_set("_e.slot").alias("_slots"))
-    counts = held.groupBy("label").agg(F.ceil(F.count("*") / block).cast("int").alias("_blocks"))
-    dealt = held.join(counts, "label").withColumn("_block", F.pmod(F.xxhash64("graph_id"), F.col("_blocks")).cast("int")).drop("_blocks")
-    asked = queries.where(F.col("slot").isin(*q_slots)).select("query_id", F.col("dial_id").alias("_group"), "slot", "label", F.col("vector").alias("_v")).join(counts, "label").select("*", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_block")).drop("_blocks")
+    asking = queries.where(F.col("slot").isin(*q_slots))
+    parts = asking.groupBy("label").agg(F.ceil(F.count("*") / ASKED).cast("int").alias("_parts"))
+    counts = held.groupBy("label").agg(F.ceil(F.count("*") / block).cast("int").alias("_blocks")).join(parts, "label")
+    dealt = held.join(counts, "label").withColumn("_block", F.pmod(F.xxhash64("graph_id"), F.col("_blocks")).cast("int")).select("*", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part")).drop("_blocks", "_parts")
+    asked = asking.select("query_id", F.col("dial_id").alias("_group"), "slot", "label", F.col("vector").alias("_v")).join(counts, "label").withColumn("_part", F.pmod(F.xxhash64("query_id"), F.col("_parts")).cast("int")).select("*", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_block")).drop("_blocks", "_parts")
     q_type = queries.schema["query_id"].dataType.simpleString()
     columns = ["query_id", "graph_id", "slot", "score"]
 
@@ -157,27 +163,32 @@ def hybrid_retrieval(queries: DataFrame, store: DataFrame, similarities: DataFra
         has = np.zeros((len(right), len(db_slots)), dtype=bool)
         for i, names in enumerate(right["_slots"]):
             has[i, [db_at[s] for s in names if s in db_at]] = True
-        groups, ids, out = right["_group"].to_numpy(dtype=object), right["graph_id"].to_numpy(dtype=object), []
+        number = {g: i for i, g in enumerate(right["_group"].dropna().unique()) if g != ""}
+        groups = right["_group"].map(number).fillna(-1).to_numpy(dtype=np.int64)
+        ids, out, step = right["graph_id"].to_numpy(dtype=object), [], max(1, SCORES // len(right))
         for name, asking in left.groupby("slot", sort=True):
             offered = np.where(has, sims[q_at[name]][None, :], -np.inf)
             best = offered.argmax(axis=1)
             sim = offered[np.arange(len(right)), best]
             valid = np.isfinite(sim)
             alpha = np.clip(0.2 + 0.3 * np.where(valid, sim, 0.0), 0.2, 0.5)
-            for at in range(0, len(asking), 512):
-                part = asking.iloc[at : at + 512]
+            for at in range(0, len(asking), step):
+                part = asking.iloc[at : at + step]
                 context = np.stack([np.asarray(v, dtype=np.float64) for v in part["_v"]]) @ items.T
                 scores = np.round(np.where(valid, (1 - alpha) * context + alpha * np.where(valid, sim, 0.0), -np.inf), 9)
-                own = part["_group"].to_numpy(dtype=object)[:, None]
-                scores[(own == groups[None, :]) & pd.notna(own) & (own != "")] = -np.inf
-                top = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-                rows, cols = np.repeat(np.arange(len(part)), top.shape[1]), top.ravel()
-                fine = np.isfinite(scores[rows, cols])
-                rows, cols = rows[fine], cols[fine]
-                out.append((part["query_id"].to_numpy()[rows], ids[cols], np.array(db_slots, dtype=object)[best[cols]], scores[rows, cols]))
+                scores[part["_group"].map(number).fillna(-2).to_numpy(dtype=np.int64)[:, None] == groups[None, :]] = -np.inf
+                rows, top, got = np.arange(len(part)), [], []
+                for _ in range(min(k, len(right))):  # the first of the best, as a stable sort has them
+                    top.append(scores.argmax(axis=1))
+                    got.append(scores[rows, top[-1]])
+                    scores[rows, top[-1]] = -np.inf
+                rows, cols, reached = np.repeat(rows, len(top)), np.stack(top, axis=1).ravel(), np.stack(got, axis=1).ravel()
+                fine = np.isfinite(reached)
+                rows, cols, reached = rows[fine], cols[fine], reached[fine]
+                out.append((part["query_id"].to_numpy()[rows], ids[cols], np.array(db_slots, dtype=object)[best[cols]], reached))
         return _frame(columns, out)
 
-    local = asked.groupBy("label", "_block").cogroup(dealt.groupBy("label", "_block")).applyInPandas(score, f"query_id {q_type}, graph_id string, slot string, score double")
+    local = asked.groupBy("label", "_block", "_part").cogroup(dealt.groupBy("label", "_block", "_part")).applyInPandas(score, f"query_id {q_type}, graph_id string, slot string, score double")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("graph_id").desc()))
     return local.withColumn("place", place).where(F.col("place") <= k).select("query_id", "place", "graph_id", "slot", "score", F.concat_ws("::", "graph_id", "slot").alias("ret_id"))
 

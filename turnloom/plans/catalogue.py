@@ -300,15 +300,15 @@ query("value_prompts")(lambda spark, sf_dir: prompts.value_prompts(dialogues(spa
 
 @query("reasoning_samples")
 def reasoning_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Samples of every record whose id is divisible by 50, with examples from the whole store."""
+    """Samples of all events, each with its examples from the whole store."""
     d, s = dialogues(spark, sf_dir), slots(spark, sf_dir)
-    found = hybrid_retrieval(spark, sf_dir).groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", F.concat_ws("::", "graph_id", "slot").alias("r")))), lambda x: x["r"]).alias("retrieved"))
-    own = d.where("rec_id % 50 = 0")
+    q, store, vectors = encoded(spark, sf_dir)
+    found = retrieve.hybrid_retrieval(q, store, retrieve.slot_similarities(vectors), block=32_768).groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", F.concat_ws("::", "graph_id", "slot").alias("r")))), lambda x: x["r"]).alias("retrieved"))
     tokens = S.label_tokens(F.col("label2"))
-    rows = turns.event_table(own).withColumn("query_id", F.concat_ws("::", "rec_id", "turn_no", "event_no")).join(found, "query_id", "left")
+    rows = turns.event_table(d).withColumn("query_id", F.concat_ws("::", "rec_id", "turn_no", "event_no")).join(found, "query_id", "left")
     events = rows.select("rec_id", "turn_no", "event_no", "slot", S.resolve_label(F.col("label1"), tokens, "prompt").alias("label"), "prev_val", "curr_val", S.tagged_value(tokens, "refered-slot").alias("ref_slot"), F.lit(-1).alias("ref_turn"), F.coalesce("retrieved", F.array().cast("array<string>")).alias("retrieved"))
     g = graph.graph_store(d, s).select("graph_id", "context", "edges").dropDuplicates(["graph_id"])
-    return prompts.reasoning_samples(events, g, turns.contexts(own, 4, "spoken"), s)
+    return prompts.reasoning_samples(events, g, turns.contexts(d, 4, "spoken"), s)
 
 
 @query("best_text_match")
