@@ -1,7 +1,9 @@
+import random
+
 import pytest
 
 from tests.llm.conftest import CLASHING
-from turnloom.llm.canonical import canonical_slots, canonical_values, edits, forms, similar_entries, stands_for, tokens
+from turnloom.llm.canonical import THRESHOLD, EntryIndex, canonical_slots, canonical_values, edits, forms, reference_forms, similar_entries, stands_for, tokens
 
 LISTS = {
     "hotel-name": ["silver badger arms", "the woven candle guest house", "rustic hazel court", "kestrel's yard hotel", "velvet magpie court", "gilded anchor guest house", "crooked magpie arms"],
@@ -51,6 +53,55 @@ def test_values_get_their_entries(spark):
     assert got == {(s, v): c for s, v, c in CASES}
 
 
+SHORT_CASES = [
+    ("restaurant-food", "viet", "vietnamese"),
+    ("restaurant-food", "port", "portuguese"),
+    ("restaurant-food", "Medi.", "mediterranean"),
+    ("restaurant-food", "vgtrn", "vegetarian"),
+    ("restaurant-food", "v i e t n a m e s e", "vietnamese"),
+    ("restaurant-food", "vi", "unmatched"),
+    ("hotel-name", "kestrel", "kestrel guest house"),
+]
+SHORT_LISTS = {"restaurant-food": ["vietnamese", "portuguese", "mediterranean", "vegetarian"], "hotel-name": ["kestrel guest house", "woven candle guest house", "gilded anchor guest house", "silver fox guest house"]}
+
+
+def test_short_forms_get_their_entries(spark):
+    values = spark.createDataFrame([(s, v) for s, v, _ in SHORT_CASES], "slot string, value string")
+    got = {(r["slot"], r["value"]): r["canonical"] for r in canonical_values(values, SHORT_LISTS).collect()}
+    assert got == {(s, v): c for s, v, c in SHORT_CASES}
+
+
+def test_no_pair_below_the_threshold_is_lost():
+    rng = random.Random(3)
+    lists = LISTS | SHORT_LISTS
+    reference = reference_forms(lists)
+    index = EntryIndex(reference)
+    n = 0
+    for _ in range(1500):
+        slot, _, entry_form, _, _ = rng.choice(reference)
+        words = [w for w in entry_form.split() if rng.random() < 0.8]
+        for k, w in enumerate(words):
+            kind = rng.random()
+            if kind < 0.3:
+                words[k] = w[: rng.randint(3, 6)]
+            elif kind < 0.6:
+                words[k] = w[0] + "".join(c for c in w[1:-1] if c not in "aeiou" or rng.random() < 0.3) + w[-1]
+            elif kind < 0.8:
+                for _ in range(rng.randint(1, 2)):
+                    i = rng.randrange(len(words[k]) + 1)
+                    words[k] = words[k][:i] + rng.choice(["", "x", "e"]) + words[k][i + rng.randint(0, 1) :]
+        form = rng.choice([" ", " ", ""]).join(words) if rng.random() < 0.9 else " ".join("".join(words))
+        if not form.strip():
+            continue
+        found = {(e, f) for e, f, _, _ in index.below(slot, form, THRESHOLD)}
+        for s, e, f, t, generic in reference:
+            own = set(tokens(form))
+            if s == slot and len(own & set(t)) / len(own | set(t)) < THRESHOLD and stands_for(form, f, frozenset(generic)) is not None:
+                assert (e, f) in found, (form, f)
+                n += 1
+    assert n > 50
+
+
 def test_cases_and_markers(spark, dialogues):
     lists = spark.createDataFrame([(s, e) for s, e in LISTS.items()] + [("taxi-leaveat", None)], "slot string, value array<string>")
     states = [{"hotel-area": v} for v in ("north", "North", "none", "", None, "not mentioned", "dontcare", "x")] + [{"taxi-leaveat": "noon"}]

@@ -4,7 +4,9 @@ The distinct values of each list's rows and the list's entries become sets of
 letters and letter pairs, and a prefix-filter set-similarity join brings each
 value to its similar entries: tokens are ordered by global rarity, only the
 rare prefixes are joined, length and positional filters go before the exact
-Jaccard similarity. An exact check decides whether a similar entry is meant:
+Jaccard similarity. Short forms and dropped words can be less similar than the
+join asks for, so the entries with a word that could be one of the value's are
+looked up beside it. An exact check decides whether a similar entry is meant:
 word by word, misspellings of an edit or two, words in another order, run
 together, cut or abbreviated, but never another word. The best entry is kept,
 the rest is reported as ``unmatched``.
@@ -16,11 +18,13 @@ out; on ties the more similar, then the first entry by code point is kept.
 
 from __future__ import annotations
 
+import functools
 import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -246,6 +250,86 @@ def similar_entries(values: DataFrame, reference: DataFrame, threshold: float =
     return checked.select("slot", "form", "entry", "entry_form", "similarity").join(values.select("slot", "value", "form"), ["slot", "form"]).join(reference.select("slot", "entry", "entry_form", "generic"), ["slot", "entry", "entry_form"])
 
 
+def _without(word: str, most: int) -> set[str]:
+    """The word and what is left of it without up to ``most`` letters."""
+    out = last = {word}
+    for _ in range(most):
+        last = {w[:i] + w[i + 1 :] for w in last for i in range(len(w))}
+        out = out | last
+    return out
+
+
+def _word_keys(word: str) -> set[str]:
+    """Keys of a form's word: it has one in common with any entry's word that it is a misspelling or a short form of."""
+    plain = "".join(c for c in word if c not in "aeiou")
+    return {f"e{w}" for w in _without(word, _allowed(len(word) + 2))} | {f"b{word[:3]}", f"c{plain}"}
+
+
+def _entry_keys(word: str) -> set[str]:
+    """As :func:`_word_keys`; a short form lacks at most one consonant, a plural has two letters more."""
+    plain = "".join(c for c in word if c not in "aeiou")
+    return _word_keys(word) | {f"c{w}" for w in _without(plain, 1)} | {f"e{word}s", f"e{word}es"}
+
+
+def _letters(word: str) -> np.ndarray:
+    return np.bincount([ord(c) % 64 for c in word], minlength=64)
+
+
+class EntryIndex:
+    """The entries that :func:`stands_for` can accept for a form, by their words and by their letters."""
+
+    def __init__(self, reference: list[tuple[str, str, str, list[str], list[str]]]):
+        self.rows = [(entry, form, frozenset(t), " ".join(generic)) for _, entry, form, t, generic in reference]
+        self.by_key: dict[tuple[str, str], set[int]] = {}
+        slots: dict[str, list[int]] = {}
+        for i, (slot, _, form, _, generic) in enumerate(reference):
+            slots.setdefault(slot, []).append(i)
+            words = form.split()
+            for word in words if len(words) == 1 else [w for w in words if w not in generic]:
+                for key in _entry_keys(word):
+                    self.by_key.setdefault((slot, key), set()).add(i)
+        joined = {s: [self.rows[i][1].replace(" ", "") for i in at] for s, at in slots.items()}
+        self.joined = {s: (np.array(at), np.array([0 if len(w) < 4 else 1 if len(w) < 9 else 2 if len(w) < 18 else 3 for w in joined[s]]), np.stack([_letters(w) for w in joined[s]])) for s, at in slots.items()}
+
+    def below(self, slot: str, form: str, threshold: float) -> list[tuple[str, str, str, float]]:
+        """entry, entry form, generic, similarity of those less similar than ``threshold``."""
+        if slot not in self.joined:
+            return []
+        met: set[int] = set()
+        for word in form.split():
+            if len(word) <= self.longest:
+                for key in _word_keys(word):
+                    met |= self.by_key.get((slot, key), set())
+        at, most, letters = self.joined[slot]
+        met.update(at[np.abs(letters - _letters(form.replace(" ", ""))).sum(axis=1) <= 2 * most].tolist())
+        own, out = set(tokens(form)) if met else set(), []
+        for i in sorted(met):
+            entry, entry_form, theirs, generic = self.rows[i]
+            similarity = len(own & theirs) / len(own | theirs)
+            if similarity < threshold:
+                out.append((entry, entry_form, generic, similarity))
+        return out
+
+    @functools.cached_property
+    def longest(self) -> int:
+        """A word longer than all entries' words by over two letters is none of them."""
+        return max((len(w) for _, form, _, _ in self.rows for w in form.split()), default=0) + 2
+
+
+def dissimilar_entries(values: DataFrame, reference: list[tuple[str, str, str, list[str], list[str]]], threshold: float = THRESHOLD) -> DataFrame:
+    """As :func:`similar_entries` the pairs below ``threshold`` that the check could accept; ``reference`` is a fixed small table."""
+
+    def look_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        index = EntryIndex(reference)
+        for pdf in batches:
+            rows = [(slot, form, *found) for slot, form in zip(pdf["slot"], pdf["form"]) for found in index.below(slot, form, threshold)]
+            if rows:
+                yield pd.DataFrame(rows, columns=["slot", "form", "entry", "entry_form", "generic", "similarity"])
+
+    found = values.select("slot", "form").distinct().mapInPandas(look_up, "slot string, form string, entry string, entry_form string, generic string, similarity double")
+    return found.join(values.select("slot", "value", "form"), ["slot", "form"])
+
+
 @F.pandas_udf(T.DoubleType())
 def _distance(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for a, b, g in batches:
@@ -255,9 +339,11 @@ def _distance(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iter
 def canonical_values(values: DataFrame, lists: dict[str, list[str]], threshold: float = THRESHOLD) -> DataFrame:
     """slot, value, canonical of distinct ``values`` (slot, value), ``UNMATCHED`` where no entry is meant."""
     spark = values.sparkSession
-    reference = spark.createDataFrame([(s, e, f, t, " ".join(g)) for s, e, f, t, g in reference_forms(lists)], "slot string, entry string, entry_form string, tokens array<string>, generic string")
+    rows = reference_forms(lists)
+    reference = spark.createDataFrame([(s, e, f, t, " ".join(g)) for s, e, f, t, g in rows], "slot string, entry string, entry_form string, tokens array<string>, generic string")
     read = values.select("slot", "value", F.explode(_forms("value")).alias("f")).select("slot", "value", "f.form", "f.tokens")
-    near = similar_entries(stored(read, "value-forms"), reference, threshold)
+    read = stored(read, "value-forms")
+    near = similar_entries(read, reference, threshold).unionByName(dissimilar_entries(read, rows, threshold))
     meant = near.withColumn("distance", _distance("form", "entry_form", "generic")).where(F.col("distance").isNotNull() & ~F.isnan("distance"))
     best = meant.groupBy("slot", "value").agg(F.min_by("entry", F.struct("distance", -F.col("similarity"), "entry")).alias("canonical"))
     return values.join(best, ["slot", "value"], "left").withColumn("canonical", F.coalesce("canonical", F.lit(UNMATCHED)))
