@@ -7,6 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tests.llm.conftest import CLASHING
+from turnloom.llm import containers
 from turnloom.llm.containers import configurations, fill_containers, knapsack
 
 
@@ -88,3 +89,19 @@ def test_plan_covers_the_histogram():
                 got[s] += n * times
         assert got == collections.Counter(histogram)
         assert bins <= best_fit_decreasing(histogram, 4096)
+
+
+def test_program_prices_all_lengths_until_they_are_covered(monkeypatch):
+    rng = np.random.default_rng(8)
+    histogram = {int(s): int(n) for s, n in zip(rng.integers(100, 4097, 300), rng.integers(1, 5, 300))}
+    priced = []
+
+    def watched(sizes, counts, worth, capacity):
+        chosen = knapsack(sizes, counts, worth, capacity)
+        priced.append((len(sizes), tuple(sorted((int(s), int(n)) for s, n in zip(sizes, chosen) if n))))
+        return chosen
+
+    monkeypatch.setattr(containers, "knapsack", watched)
+    plan = configurations(histogram)
+    assert len(plan) > 80 and {n for n, _ in priced} == {len(histogram)}
+    assert {tuple(sorted(c.items())) for c, _ in plan} <= {c for _, c in priced}

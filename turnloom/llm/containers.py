@@ -4,10 +4,11 @@ A configuration linear program over the histogram of lengths: each variable is
 a configuration (how many items of each length share one container), the cover
 constraints ask that all items are placed. It is solved by multiplicative
 weights: every length has a weight, the configuration worth most at the current
-weights is found by bounded knapsack dynamic programming, it gets a share of
-what is still uncovered, and the lengths it covers lose weight. The fractional
-numbers of containers are rounded down and what remains, at most one container
-of each configuration, is filled by the same knapsack with lengths as worth.
+weights is found by bounded knapsack dynamic programming over all lengths not
+yet covered, it gets as many whole containers as it can fill, and the lengths it
+covers lose weight. This goes on until all items are covered; each configuration
+covers one length up to less than another of its kind needs, so there are about
+as many as lengths, whatever the number of items.
 
 Only the histogram reaches the driver, at most ``capacity`` rows whatever the
 corpus; so the plan (configurations and multiplicities) is as small. The items
@@ -35,11 +36,7 @@ from turnloom.runtime import stored
 
 CAPACITY = 4096
 SLICES = 128
-ROUNDS = 80
 RATE = 0.5
-SHARE = 0.5
-#: Sizes priced at once while the remainder is filled.
-PRICED = 128
 TILTS = (0.05, 1.0, 3.0, 8.0)
 NEAR = 0.002
 
@@ -73,7 +70,7 @@ def knapsack(sizes: np.ndarray, counts: np.ndarray, worth: np.ndarray, capacity:
     return chosen
 
 
-def configurations(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[tuple[dict[int, int], int]]:
+def configurations(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[dict[int, int], int]]:
     """(items of each size, number of containers) covering the histogram exactly.
 
     Starting prices favour large items more or less; the first plan within ``NEAR`` of
@@ -82,7 +79,7 @@ def configurations(histogram: dict[int, int], capacity: int = CAPACITY, rounds:
     bound = sum(s * n for s, n in histogram.items()) / capacity
     best: list[tuple[dict[int, int], int]] = []
     for tilt in TILTS:
-        plan = _plan(histogram, capacity, rounds, tilt)
+        plan = _plan(histogram, capacity, tilt)
         if not best or sum(m for _, m in plan) < sum(m for _, m in best):
             best = plan
         if sum(m for _, m in best) <= bound * (1 + NEAR) + 1:
@@ -90,50 +87,22 @@ def configurations(histogram: dict[int, int], capacity: int = CAPACITY, rounds:
     return best
 
 
-def _plan(histogram: dict[int, int], capacity: int, rounds: int, tilt: float) -> list[tuple[dict[int, int], int]]:
+def _plan(histogram: dict[int, int], capacity: int, tilt: float) -> list[tuple[dict[int, int], int]]:
     sizes = np.array(sorted((s for s, n in histogram.items() if n > 0), reverse=True), dtype=np.int64)
     counts = np.array([histogram[int(s)] for s in sizes], dtype=np.int64)
     if not len(sizes):
         return []
     start = sizes / capacity * (1 + tilt * sizes / capacity)  # the dual by size, large items first on ties
     weight = np.ones(len(sizes))
-    uncovered = counts.astype(float)
-    patterns: dict[tuple[int, ...], float] = {}
-    for _ in range(rounds):
-        open_ = np.floor(uncovered + 1e-9).astype(np.int64)
-        if (open_ * sizes).sum() <= capacity:
-            break
-        chosen = knapsack(sizes, open_, start * weight, capacity)
-        used = chosen > 0
-        if not used.any():
-            break
-        limit = float((uncovered[used] / chosen[used]).min())
-        amount = max(SHARE * limit, min(1.0, limit))
-        patterns[tuple(chosen)] = patterns.get(tuple(chosen), 0.0) + amount
-        uncovered = np.maximum(0.0, uncovered - amount * chosen)
-        weight[used] *= np.exp(-RATE * np.minimum(1.0, amount * chosen[used] / counts[used]) * 0.1)
     left = counts.copy()
     out: list[tuple[dict[int, int], int]] = []
-
-    def take(chosen: np.ndarray, times: int) -> None:
-        nonlocal left
-        left = left - chosen * times
-        out.append(({int(sizes[k]): int(chosen[k]) for k in np.flatnonzero(chosen)}, times))
-
-    for key, amount in sorted(patterns.items(), key=lambda x: -x[1]):
-        chosen = np.array(key)
-        used = chosen > 0
-        times = min(int(amount + 1e-9), int((left[used] // chosen[used]).min()))
-        if times > 0:
-            take(chosen, times)
     while left.any():
-        live = np.flatnonzero(left > 0)
-        if len(live) > PRICED:  # the largest sizes and an even spread of the others fill a container as well as all do
-            live = live[np.unique(np.concatenate([np.arange(PRICED // 4), np.linspace(PRICED // 4, len(live) - 1, PRICED * 3 // 4).astype(int)]))]
-        chosen = np.zeros(len(sizes), dtype=np.int64)
-        chosen[live] = knapsack(sizes[live], left[live], start[live], capacity)
+        chosen = knapsack(sizes, left, start * weight, capacity)
         used = chosen > 0
-        take(chosen, max(1, int((left[used] // chosen[used]).min())))
+        times = int((left[used] // chosen[used]).min())
+        left = left - chosen * times
+        weight[used] *= np.exp(-RATE * np.minimum(1.0, times * chosen[used] / counts[used]) * 0.1)
+        out.append(({int(sizes[k]): int(chosen[k]) for k in np.flatnonzero(used)}, times))
     return out
 
 
