@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.conftest import CLASHING
-from turnloom.llm.splits import anneal, clean_labels, components, dialogue_keys, keep_together, related_pairs, split_report
+from turnloom.llm import splits
+from turnloom.llm.splits import anneal, clean_labels, components, dialogue_keys, keep_together, related_pairs, split_report, split_components
 
 
 @pytest.mark.parametrize(
@@ -99,3 +100,18 @@ def test_anneal_beats_the_start():
     start = rng.integers(0, 3, 300)
     off = lambda at: sum(np.abs(weights[at == s].sum(axis=0) - targets[s]).sum() for s in range(3))
     assert off(anneal(weights, targets, start, 1)) < 0.1 * off(start)
+
+
+def test_all_labels_are_weighed(spark, dialogues, monkeypatch):
+    df = dialogues([(i, {"dial_id": f"MLT{i}", "domains": [f"area {i % 80:02}x"]}) for i in range(800)])
+    widths = []
+
+    def watched(sizes, n_labels, shares=None):
+        widths.append(n_labels)
+        return split_components(sizes, n_labels, shares)
+
+    monkeypatch.setattr(splits, "split_components", watched)
+    assert keep_together(df).count() == 800 and widths == [80]
+    monkeypatch.setattr(splits, "MOST_LABELS", 79)
+    with pytest.raises(ValueError, match="at most 79"):
+        keep_together(df)

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnloom.operators.skew import attach
-from turnloom.runtime import stored
+from turnloom.runtime import small, stored
 
 SHARES = {"train": 0.8, "dev": 0.1, "test": 0.1}
 #: Corpora that number their dialogues anew for each set of domains.
@@ -39,7 +39,8 @@ GIANTS = 500
 ROUNDS = 3
 CHAINS = 3
 STEPS = 500
-MOST_LABELS = 64
+#: All labels are weighed; a table with more than these is refused.
+MOST_LABELS = 1000
 
 
 def clean_labels(labels: Column) -> Column:
@@ -165,7 +166,7 @@ def split_components(sizes: DataFrame, n_labels: int, shares: dict[str, float] |
         s = int(np.argmax([(w * (2 * lack[k] - w) / (total + 1)).sum() for k in range(len(names))]))
         placed[s] += w
         giant_split.append((g["component"], names[s]))
-    small = sizes.where(~big)
+    others = sizes.where(~big)
     left = goal - placed
     blocks = max(1, int(np.ceil((row["n"] - len(giants)) / BLOCK)))
     rest = total - placed.sum(axis=0)
@@ -184,7 +185,7 @@ def split_components(sizes: DataFrame, n_labels: int, shares: dict[str, float] |
             at = anneal(weights, targets, _hashed(unit, np.clip(ratio[:, 0], 0, None) / max(1e-9, np.clip(ratio[:, 0], 0, None).sum())), seed)
             return pd.DataFrame({"component": pdf["component"], "split": [names[s] for s in at], "weights": pdf["weights"]})
 
-        salted = small.withColumn("_block", F.pmod(F.xxhash64("component", F.lit(attempt)), F.lit(blocks)).cast("int")).withColumn("_unit", F.pmod(F.xxhash64(F.lit("start"), "component"), F.lit(1_000_003)) / 1_000_003.0)
+        salted = others.withColumn("_block", F.pmod(F.xxhash64("component", F.lit(attempt)), F.lit(blocks)).cast("int")).withColumn("_unit", F.pmod(F.xxhash64(F.lit("start"), "component"), F.lit(1_000_003)) / 1_000_003.0)
         done = stored(salted.groupBy("_block").applyInPandas(run, "component string, split string, weights array<bigint>"), "assigned")
         got = np.zeros_like(left)
         for r in done.groupBy("split").agg(*sums).collect():  # one row per split
@@ -201,7 +202,7 @@ def split_components(sizes: DataFrame, n_labels: int, shares: dict[str, float] |
 def keep_together(records: DataFrame, shares: dict[str, float] | None = None, *, record: str = "rec_id", **columns: str) -> DataFrame:
     """``record``, component, assigned split of every record; all records of a component share one split."""
     grouped = stored(related_records(records, record=record, **columns), "related")
-    labels = [r["l"] for r in grouped.select(F.explode("labels").alias("l")).groupBy("l").count().orderBy(F.col("count").desc(), "l").limit(MOST_LABELS).collect()]
+    labels = [r["l"] for r in small(grouped.select(F.explode("labels").alias("l")).groupBy("l").count().orderBy(F.col("count").desc(), "l"), MOST_LABELS)]
     weights = F.array(F.count("*"), *[F.sum(F.array_contains("labels", l).cast("long")) for l in labels])
     sizes = stored(grouped.groupBy("component").agg(weights.alias("weights"), F.count("*").alias("_n")), "component-sizes")
     split = split_components(sizes.select("component", "weights"), len(labels), shares)
