@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnloom.llm.canonical import UNMATCHED, canonical_slots
-from turnloom.llm.containers import documents_in_containers
+from turnloom.llm.containers import container_report, documents_in_containers
 from turnloom.llm.overlaps import overlap_report, overlapping_records
 from turnloom.llm.splits import keep_together, related_pairs, split_report
 from turnloom.llm.subjects import subject_areas
@@ -64,11 +64,15 @@ def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents_in_containers(table(spark, sf_dir, "documents"))
 
 
+def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return container_report(table(spark, sf_dir, "documents"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subject_areas(table(spark, sf_dir, "documents"), table(spark, sf_dir, "subject_examples"), table(spark, sf_dir, "subject_areas"))
 
 
-QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_splits": p1_splits, "p1_report": p1_report, "p2_found": p2_found, "p2_report": p2_report, "p3_found": p3_found, "p3_report": p3_report, "p4_found": p4_found, "p6_ids": p6_ids, "p7_containers": p7_containers, "p8_found": p8_found}
+QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_splits": p1_splits, "p1_report": p1_report, "p2_found": p2_found, "p2_report": p2_report, "p3_found": p3_found, "p3_report": p3_report, "p4_found": p4_found, "p6_ids": p6_ids, "p7_containers": p7_containers, "p7_report": p7_report, "p8_found": p8_found}
 
 SQL: dict[str, str] = {
     "p4_found": """
