@@ -2,7 +2,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tests.llm.conftest import CLASHING
-from turnloom.llm.subjects import Chain, fold, sentences, subject_areas
+from turnloom.llm.subjects import Chain, fold, sentences, subject_areas, subject_report
 
 NOUNS = {"sea": "harbour anchor tide sailor lighthouse wave rudder mast".split(), "farm": "barn tractor cow harvest fence plough meadow hen".split(), "code": "compiler server patch login thread cache database script".split()}
 SHAPES = ("The {} was near the {} once more.", "There is a {} but no {} at all.", "What about the {}, is it like the {}?", "They replaced the {}; the {} stays as it is.")
@@ -67,6 +67,66 @@ def test_chain_learns_co_occurrence():
     labels = np.column_stack([rng.random(3000) < 0.5, np.zeros(3000, dtype=bool)])
     labels[:, 1] = labels[:, 0]  # the second label always comes with the first
     share = np.column_stack([np.where(labels[:, 0], 0.4, 0.05) + rng.normal(0, 0.01, 3000), rng.random(3000)])
-    features = np.column_stack([share, np.full(3000, 2.0), np.zeros(3000)])
-    found = Chain.fit(features, labels).decode(features)
-    assert (found == labels).mean() > 0.99
+    features = np.column_stack([share, share, np.full(3000, 2.0), np.zeros(3000), np.zeros(3000)])
+    rates = np.full((3000, 2), 0.5)
+    found = Chain.fit(features, rates, labels).decode(features, rates)
+    assert (found == labels).mean() > 0.99 > 0.8 > ((share >= 0.2) == labels).mean()
+
+
+def test_chain_uses_sources():
+    rng = np.random.default_rng(11)
+    labels = rng.random((3000, 1)) < 0.5
+    rates = np.where(rng.random((3000, 1)) < 0.9, labels, ~labels) * 0.8 + 0.1  # nothing in the text tells, the source mostly does
+    features = np.column_stack([rng.random((3000, 2)) * 0.1, np.full(3000, 2.0), np.zeros(3000), np.zeros(3000)])
+    chain = Chain.fit(features, rates, labels)
+    assert (chain.decode(features, rates) == labels).mean() > 0.85 and chain.quality[0]["ece"] < 0.05
+
+
+def test_co_occurrence_decides_where_the_text_does_not(spark):
+    """A sixth of the sentences is of farms and one has a word nobody knows: with the sea, which always comes with farms, that is one more; with code it isn't."""
+    rng = np.random.default_rng(12)
+    examples, areas, _, _ = tables(spark, rng)
+
+    def document(parts):
+        body = [line for s, n in parts for line in (about(rng, s, NOUNS[s]) if s else str(rng.choice(FILLER)) for _ in range(n))]
+        rng.shuffle(body)
+        return "\n".join(body)
+
+    def nobody(i):
+        return "".join(chr(97 + int(c)) for c in str(7919 * i + 10**8))
+
+    def farm(i, n):
+        return [SHAPES[(i + j) % 4].format(w, nobody(10 * i + j)) for j, w in enumerate(rng.choice(NOUNS["farm"][:5], n))]
+
+    def unknown(i):
+        return SHAPES[i % 4].format(nobody(10 * i + 8), nobody(10 * i + 9))
+
+    rows, weak, passing = [], [], []
+    for i in range(900):
+        if i % 45 == 0:  # three sentences in eighteen tell of farms
+            weak.append(i)
+            rows.append((i, document([("sea", 5), (None, 9)]) + "\n" + "\n".join([unknown(i), *farm(i, 3)])))
+        elif i % 3:
+            rows.append((i, document([("sea", 5), (None, 9)]) + "\n" + "\n".join(farm(i, 4))))
+        else:
+            passing.append(i)
+            rows.append((i, document([("code", 5), (None, 9)]) + "\n" + "\n".join([unknown(i), *farm(i, 3)])))
+    got = {}
+    for r in subject_areas(spark.createDataFrame(rows, "doc_id long, text string"), examples, areas).collect():
+        got.setdefault(r["doc_id"], set()).add(r["subject"])
+    assert np.mean(["farm" in got[i] for i in weak]) > 0.8  # a bare threshold finds none of them
+    assert np.mean(["farm" not in got[i] for i in passing]) > 0.95 and np.mean([got[i] == {"sea", "farm"} for i in range(900) if i % 3 and i % 45]) > 0.95
+
+
+def test_report_and_sources(spark):
+    rng = np.random.default_rng(13)
+    examples, areas, documents, truth = tables(spark, rng)
+    rows = [(i, t, None if i % 5 == 0 else "a" if i % 2 else "b") for i, t in documents] + [(1000, documents[0][1], "z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {i: set() for i, _, _ in rows}
+    for r in subject_areas(df, examples, areas, source="source").collect():
+        got[r["doc_id"]].add(r["subject"])
+    assert sum(got[i] == s for i, s in truth.items()) >= 0.95 * len(truth) and got[1000] == got[0]
+    report = {r["subject"]: r for r in subject_report(df, examples, areas, source="source").collect()}
+    assert set(report) == set(NOUNS) and all(report[s]["n_documents"] == sum(s in x for x in got.values()) for s in NOUNS)
+    assert all(r["recall"] > 0.9 and r["precision"] > 0.9 and r["brier"] < 0.05 for r in report.values())

@@ -11,7 +11,7 @@ from turnloom.llm.canonical import UNMATCHED, canonical_slots
 from turnloom.llm.containers import container_report, documents_in_containers
 from turnloom.llm.overlaps import overlap_report, overlapping_records
 from turnloom.llm.splits import keep_together, related_pairs, split_report
-from turnloom.llm.subjects import subject_areas
+from turnloom.llm.subjects import subject_areas, subject_report
 from turnloom.llm.tokens import encode_corpus
 from turnloom.llm.topn import retrieved_items, top_per_group
 from turnloom.runtime import table
@@ -69,10 +69,14 @@ def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return subject_areas(table(spark, sf_dir, "documents"), table(spark, sf_dir, "subject_examples"), table(spark, sf_dir, "subject_areas"))
+    return subject_areas(table(spark, sf_dir, "documents"), table(spark, sf_dir, "subject_examples"), table(spark, sf_dir, "subject_areas"), source="source")
 
 
-QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_splits": p1_splits, "p1_report": p1_report, "p2_found": p2_found, "p2_report": p2_report, "p3_found": p3_found, "p3_report": p3_report, "p4_found": p4_found, "p6_ids": p6_ids, "p7_containers": p7_containers, "p7_report": p7_report, "p8_found": p8_found}
+def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subject_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "subject_examples"), table(spark, sf_dir, "subject_areas"), source="source")
+
+
+QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_splits": p1_splits, "p1_report": p1_report, "p2_found": p2_found, "p2_report": p2_report, "p3_found": p3_found, "p3_report": p3_report, "p4_found": p4_found, "p6_ids": p6_ids, "p7_containers": p7_containers, "p7_report": p7_report, "p8_found": p8_found, "p8_report": p8_report}
 
 SQL: dict[str, str] = {
     "p4_found": """
