@@ -102,6 +102,44 @@ def test_anneal_beats_the_start():
     assert off(anneal(weights, targets, start, 1)) < 0.1 * off(start)
 
 
+def test_heat_finds_better_splits(monkeypatch):
+    """Few large components: descent gets stuck where warmer chains do not."""
+    def total():
+        energy = 0.0
+        for seed in range(40):
+            rng = np.random.default_rng(seed)
+            weights = rng.integers(5, 90, (14, 2)).astype(float)
+            targets = np.array([0.5, 0.3, 0.2])[:, None] * weights.sum(axis=0)[None, :]
+            at = anneal(weights, targets, rng.integers(0, 3, 14), seed, steps=150)
+            off = np.stack([weights[at == s].sum(axis=0) for s in range(3)]) - targets
+            energy += float((off * off).sum())
+        return energy
+
+    warm = total()
+    monkeypatch.setattr(splits, "HEAT", 0.0)
+    assert warm < 0.8 * total()
+
+
+def test_large_components_are_searched_too(spark):
+    """Forty components of one to ten hundredths of the records each, all of them over the limit."""
+    rng = np.random.default_rng(5)
+    rows = [(f"c{i:02}", [int(n), int(n * rng.random())]) for i, n in enumerate(rng.integers(20, 200, 40))]
+    sizes = spark.createDataFrame(rows, "component string, weights array<bigint>")
+    got = {r["component"]: r["split"] for r in split_components(sizes, 1).collect()}
+    assert sorted(got) == [c for c, _ in rows]
+    for k in range(2):
+        total = sum(w[k] for _, w in rows)
+        for split, share in splits.SHARES.items():
+            assert abs(sum(w[k] for c, w in rows if got[c] == split) - share * total) < 0.01 * total
+
+
+def test_report_against_the_hashed_start(spark, dialogues):
+    df = dialogues([(i, {"dial_id": f"MLT{i % 300}", "domains": [["hotel"], ["taxi"]][i % 2]}) for i in range(1200)])
+    report = split_report(keep_together(df)).collect()
+    off = {k: sum(abs(r[k] - splits.SHARES[r["assigned_split"]] * (1200 if r["label"] == "" else 600)) for r in report) for k in ("n_records", "n_hashed")}
+    assert off["n_records"] < 0.25 * off["n_hashed"] and sum(r["n_hashed"] for r in report) == sum(r["n_records"] for r in report) == 2400
+
+
 def test_all_labels_are_weighed(spark, dialogues, monkeypatch):
     df = dialogues([(i, {"dial_id": f"MLT{i}", "domains": [f"area {i % 80:02}x"]}) for i in range(800)])
     widths = []

@@ -12,7 +12,9 @@ its records per label from the wanted shares. Components are spread over blocks
 of bounded size, every block anneals on its own (several chains, the best is
 kept), what remains over all blocks is handed out anew for the next round, and
 the best round is kept. Components with over 1/GIANTS of all records, so at most
-GIANTS of them, are placed before on the driver; whole components never break.
+GIANTS of them, are a block of their own: in every round they are searched first,
+against what the other blocks left open in the round before. Whole components
+never break.
 
 Defined results: a record without an id of its own is in no pair but gets a split; a null, empty or unreadable id names nothing, so the record is
 a component of its own; blank, null and repeated labels don't count; an empty
@@ -39,6 +41,10 @@ GIANTS = 500
 ROUNDS = 3
 CHAINS = 3
 STEPS = 500
+#: Moves and exchanges drawn in a step.
+PROPOSED = 128
+#: Heat of the second chain, as a part of the start's deviation for each component; the third has twice that.
+HEAT = 0.05
 #: All labels are weighed; a table with more than these is refused.
 MOST_LABELS = 1000
 
@@ -69,10 +75,11 @@ def components(links: DataFrame) -> DataFrame:
     mark = None
     while True:
         both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where(F.col("b") > F.col("a")).join(least, "a").select(F.col("m").alias("a"), "b").where("a <> b").distinct()
-        small_side = large.groupBy("b").agg(F.min("a").alias("m"))
-        small = large.join(small_side, "b").select(F.col("m").alias("m"), F.explode(F.array("a", "b")).alias("v")).where("m <> v").select(F.col("m").alias("a"), F.col("v").alias("b")).distinct()
+        least = stored(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("_n")), "least-neighbours")
+        large = attach(both.where(F.col("b") > F.col("a")), least, ["a"]).select(F.col("m").alias("a"), "b").where("a <> b").distinct()
+        large = stored(large, "large-star")
+        small_side = stored(large.groupBy("b").agg(F.min("a").alias("m"), F.count("*").alias("_n")), "small-sides")
+        small = attach(large, small_side, ["b"]).select(F.col("m").alias("m"), F.explode(F.array("a", "b")).alias("v")).where("m <> v").select(F.col("m").alias("a"), F.col("v").alias("b")).distinct()
         edges = stored(small, "links")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if now == mark:
@@ -95,47 +102,57 @@ def related_records(records: DataFrame, *, record: str = "rec_id", dial_id: str
     return named.unionByName(alone)
 
 
-def related_pairs(records: DataFrame, *, record: str = "rec_id", **columns: str) -> DataFrame:
-    """For each component of two or more records its smallest record (a) with each other (b)."""
-    grouped = stored(related_records(records, record=record, **columns).select("record", "component"), "related")
+def kept_pairs(assigned: DataFrame, *, record: str = "rec_id") -> DataFrame:
+    """For each component of two or more records of :func:`keep_together` its smallest record (a) with each other (b)."""
+    grouped = stored(assigned.select(F.col(record).alias("record"), "component"), "assigned-records")
     groups = grouped.groupBy("component").agg(F.min("record").alias("least"), F.count("*").alias("_n")).where("_n > 1")
     kept = attach(grouped, stored(groups, "components"), ["component"])
     return kept.where(F.col("record") != F.col("least")).select(F.col("least").alias(f"{record}_a"), F.col("record").alias(f"{record}_b"))
 
 
+def related_pairs(records: DataFrame, *, record: str = "rec_id", **columns: str) -> DataFrame:
+    """:func:`kept_pairs` of the records given to splits by :func:`keep_together`."""
+    return kept_pairs(keep_together(records, record=record, **columns), record=record)
+
+
 def anneal(weights: np.ndarray, targets: np.ndarray, start: np.ndarray, seed: int, chains: int = CHAINS, steps: int = STEPS) -> np.ndarray:
-    """A split for each row of ``weights`` (components x dimensions) with sums close to ``targets`` (splits x dimensions)."""
+    """A split for each row of ``weights`` (components x dimensions) with sums close to ``targets`` (splits x dimensions).
+
+    Every step draws some moves and exchanges and takes one of them, or none, by the heat: the likelier the more it gains.
+    """
     n, splits = len(weights), len(targets)
     scale = 1.0 / (targets.sum(axis=0) + 1.0)
-    best, best_energy = start, np.inf
+    off = np.stack([weights[start == s].sum(axis=0) for s in range(splits)]) - targets
+    best, best_energy = start, float((off * off * scale).sum())
     for chain in range(chains):
         rng = np.random.default_rng(seed + chain)
         at = start.copy()
         off = np.stack([weights[at == s].sum(axis=0) for s in range(splits)]) - targets
-        hot = float((off * off * scale).sum()) / max(1, n)
+        energy = float((off * off * scale).sum())
+        hot = HEAT * chain * energy / max(1, n)  # the first chain only descends
         for step in range(steps):
-            k = min(128, 4 * n)
+            k = min(PROPOSED, 4 * n)
             i, j = rng.integers(0, n, k), rng.integers(0, n, k)
             swap = rng.random(k) < 0.5
             to = np.where(swap, at[j], rng.integers(0, splits, k))
-            ok = np.flatnonzero((to != at[i]) & (i != j))
+            ok = np.flatnonzero((to != at[i]) & (i != j) | ((n == 1) & ~swap & (to != at[i])))
             if not len(ok):
                 continue
             i, j, to, swap = i[ok], j[ok], to[ok], swap[ok]
             moved = weights[i] - np.where(swap[:, None], weights[j], 0.0)
             gain = (moved * (2 * off[to] + moved) * scale).sum(axis=1) + (moved * (moved - 2 * off[at[i]]) * scale).sum(axis=1)
-            p = int(gain.argmin())
             heat = hot * (1 - step / steps) ** 3
-            if gain[p] < 0 or (heat > 0 and step < steps * 0.8 and rng.random() < np.exp(-gain[p] / heat)):
+            p = int((gain - heat * rng.gumbel(size=len(gain))).argmin()) if heat > 0 else int(gain.argmin())
+            if gain[p] < (heat * rng.gumbel() if heat > 0 else 0):
                 a, s = int(i[p]), int(to[p])
                 off[at[a]] -= moved[p]
                 off[s] += moved[p]
                 if swap[p]:
                     at[int(j[p])] = at[a]
                 at[a] = s
-        energy = float((off * off * scale).sum())
-        if energy < best_energy:
-            best, best_energy = at, energy
+                energy += float(gain[p])
+                if energy < best_energy * (1 - 1e-9):
+                    best, best_energy = at.copy(), energy
     return best
 
 
@@ -143,6 +160,11 @@ def _hashed(unit: np.ndarray, shares: np.ndarray) -> np.ndarray:
     return np.minimum(np.searchsorted(np.cumsum(shares), unit, side="right"), len(shares) - 1)
 
 
+def _unit(component: str) -> Column:
+    """The place from 0 to 1 of a component in the hashed start."""
+    return F.pmod(F.xxhash64(F.lit("start"), component), F.lit(1_000_003)) / 1_000_003.0
+
+
 def split_components(sizes: DataFrame, n_labels: int, shares: dict[str, float] | None = None) -> DataFrame:
     """component, split for ``sizes``: component, weights (records, then records per label). Read repeatedly: hand in a stored table."""
     shares = shares or SHARES
@@ -157,45 +179,46 @@ def split_components(sizes: DataFrame, n_labels: int, shares: dict[str, float] |
     total = np.array([float(row[f"s{k}"]) for k in range(width)])
     goal = wanted[:, None] * total[None, :]
     big = F.col("weights")[0] > total[0] / GIANTS
-    giants = sizes.where(big).orderBy(F.col("weights")[0].desc(), "component").limit(GIANTS).collect()
-    placed = np.zeros_like(goal)
-    giant_split: list[tuple[str, str]] = []
-    for g in giants:  # each to the split that lacks most of it
-        w = np.array(g["weights"], dtype=float)
-        lack = goal - placed
-        s = int(np.argmax([(w * (2 * lack[k] - w) / (total + 1)).sum() for k in range(len(names))]))
-        placed[s] += w
-        giant_split.append((g["component"], names[s]))
+    giants = sizes.where(big).withColumn("_unit", _unit("component")).orderBy("component").limit(GIANTS).collect()
+    heavy = np.array([g["weights"] for g in giants], dtype=float).reshape(len(giants), width)
+    at = _hashed(np.array([g["_unit"] for g in giants], dtype=float), wanted)
     others = sizes.where(~big)
-    left = goal - placed
     blocks = max(1, int(np.ceil((row["n"] - len(giants)) / BLOCK)))
-    rest = total - placed.sum(axis=0)
-    best, best_energy, debt = None, np.inf, np.zeros_like(left)
-    for attempt in range(ROUNDS if rest[0] > 0 else 0):
-        share_left = np.where(rest[None, :] > 0, left / np.maximum(rest[None, :], 1e-9), wanted[:, None])
-        extra = debt / blocks
-
-        def run(pdf: pd.DataFrame) -> pd.DataFrame:  # sent out within this round, so the names below are this round's
-            ratio = share_left
-            pdf = pdf.sort_values("component", kind="stable")
-            weights = np.stack(pdf["weights"].to_numpy()).astype(float)
-            unit = pdf["_unit"].to_numpy()
-            targets = ratio * weights.sum(axis=0)[None, :] - extra
-            seed = int(pdf["_block"].iloc[0]) * 1000 + attempt * 100
-            at = anneal(weights, targets, _hashed(unit, np.clip(ratio[:, 0], 0, None) / max(1e-9, np.clip(ratio[:, 0], 0, None).sum())), seed)
-            return pd.DataFrame({"component": pdf["component"], "split": [names[s] for s in at], "weights": pdf["weights"]})
-
-        salted = others.withColumn("_block", F.pmod(F.xxhash64("component", F.lit(attempt)), F.lit(blocks)).cast("int")).withColumn("_unit", F.pmod(F.xxhash64(F.lit("start"), "component"), F.lit(1_000_003)) / 1_000_003.0)
-        done = stored(salted.groupBy("_block").applyInPandas(run, "component string, split string, weights array<bigint>"), "assigned")
-        got = np.zeros_like(left)
-        for r in done.groupBy("split").agg(*sums).collect():  # one row per split
-            got[names.index(r["split"])] = [float(r[f"s{k}"]) for k in range(width)]
-        off = got - left
+    rest = total - heavy.sum(axis=0)
+    best, best_at, best_energy, debt = None, at, np.inf, np.zeros_like(goal)
+    got = wanted[:, None] * rest[None, :]
+    for attempt in range(ROUNDS):
+        if giants:
+            at = anneal(heavy, goal - got, at, 7_000_000 + attempt * 100)
+        placed = np.stack([heavy[at == s].sum(axis=0) for s in range(len(names))])
+        left = goal - placed
+        done = None
+        if rest[0] > 0:
+            share_left = np.where(rest[None, :] > 0, left / np.maximum(rest[None, :], 1e-9), wanted[:, None])
+            extra = debt / blocks
+
+            def run(pdf: pd.DataFrame) -> pd.DataFrame:  # sent out within this round, so the names below are this round's
+                ratio = share_left
+                pdf = pdf.sort_values("component", kind="stable")
+                weights = np.stack(pdf["weights"].to_numpy()).astype(float)
+                targets = ratio * weights.sum(axis=0)[None, :] - extra
+                seed = int(pdf["_block"].iloc[0]) * 1000 + attempt * 100
+                first = _hashed(pdf["_unit"].to_numpy(), np.clip(ratio[:, 0], 0, None) / max(1e-9, np.clip(ratio[:, 0], 0, None).sum()))
+                return pd.DataFrame({"component": pdf["component"], "split": [names[s] for s in anneal(weights, targets, first, seed)], "weights": pdf["weights"]})
+
+            salted = others.withColumn("_block", F.pmod(F.xxhash64("component", F.lit(attempt)), F.lit(blocks)).cast("int")).withColumn("_unit", _unit("component"))
+            done = stored(salted.groupBy("_block").applyInPandas(run, "component string, split string, weights array<bigint>"), "assigned")
+            got = np.zeros_like(left)
+            for r in done.groupBy("split").agg(*sums).collect():  # one row per split
+                got[names.index(r["split"])] = [float(r[f"s{k}"]) for k in range(width)]
+            debt = debt + got - left
+        off = got + placed - goal
         energy = float((off * off / (total + 1)).sum())
         if energy < best_energy:
-            best, best_energy = done, energy
-        debt = debt + off
-    giant_rows = spark.createDataFrame(giant_split, "component string, split string")
+            best, best_at, best_energy = done, at, energy
+        if np.abs(off).max() < 1:
+            break
+    giant_rows = spark.createDataFrame([(g["component"], names[s]) for g, s in zip(giants, best_at)], "component string, split string")
     return giant_rows if best is None else best.select("component", "split").unionByName(giant_rows)
 
 
@@ -210,7 +233,13 @@ def keep_together(records: DataFrame, shares: dict[str, float] | None = None, *,
     return attach(grouped.select("record", "component", "labels"), per_key, ["component"]).select(F.col("record").alias(record), "component", "labels", F.col("split").alias("assigned_split"))
 
 
-def split_report(assigned: DataFrame) -> DataFrame:
-    """Records per label ('' = all) and split, with the share of the label's records."""
-    counts = assigned.select("assigned_split", F.explode(F.concat(F.array(F.lit("")), F.col("labels"))).alias("label")).groupBy("label", "assigned_split").agg(F.count("*").alias("n_records"))
+def split_report(assigned: DataFrame, shares: dict[str, float] | None = None) -> DataFrame:
+    """Records per label ('' = all) and split, with the share of the label's records, and the records the hashed start gives the split."""
+    shares = shares or SHARES
+    limits = np.cumsum(list(shares.values())) / sum(shares.values())
+    start = F.lit(list(shares)[-1])
+    for name, limit in reversed(list(zip(shares, limits[:-1]))):
+        start = F.when(_unit("component") < float(limit), name).otherwise(start)
+    both = assigned.select("labels", F.explode(F.array(F.struct(F.col("assigned_split").alias("split"), F.lit(1).alias("now")), F.struct(start.alias("split"), F.lit(0).alias("now")))).alias("x"))
+    counts = both.select("x.split", "x.now", F.explode(F.concat(F.array(F.lit("")), F.col("labels"))).alias("label")).groupBy("label", F.col("split").alias("assigned_split")).agg(F.sum(F.col("now").cast("long")).alias("n_records"), F.sum((1 - F.col("now")).cast("long")).alias("n_hashed"))
     return counts.withColumn("share", F.col("n_records") / F.sum("n_records").over(Window.partitionBy("label")))
