@@ -1,8 +1,10 @@
 import random
 
+import numpy as np
 import pytest
 
 from tests.llm.conftest import CLASHING
+from turnloom.llm import canonical
 from turnloom.llm.canonical import THRESHOLD, EntryIndex, canonical_slots, canonical_values, edits, forms, reference_forms, similar_entries, stands_for, tokens
 
 LISTS = {
@@ -132,3 +134,26 @@ def test_edits(a, b, n):
 
 def test_numbers_are_never_close():
     assert stands_for("11", "1", frozenset()) is None and stands_for("1", "1", frozenset()) == 0.0
+
+
+def test_join_keeps_pairs_at_the_threshold(spark):
+    """Against brute force over random token sets, many of them exactly at a threshold."""
+    rng = np.random.default_rng(21)
+    sets = [sorted({f"t{int(x)}" for x in rng.integers(0, 14, rng.integers(1, 12))}) for _ in range(90)]
+    sets += [[f"z{i}" for i in range(7)], [f"t{i}" for i in range(10, 14)] + [f"z{i}" for i in range(3, 7)] + ["y1", "y2"]]
+    values = spark.createDataFrame([("s", f"v{i}", f"v{i}", t) for i, t in enumerate(sets)], "slot string, value string, form string, tokens array<string>")
+    entries = spark.createDataFrame([("s", f"e{i}", f"e{i}", t, "") for i, t in enumerate(sets)], "slot string, entry string, entry_form string, tokens array<string>, generic string")
+    for threshold, p, q in ((0.4, 2, 5), (0.5, 1, 2), (0.75, 3, 4)):
+        want = {(f"v{i}", f"e{j}") for i, a in enumerate(sets) for j, b in enumerate(sets) if len(set(a) & set(b)) * q >= len(set(a) | set(b)) * p}
+        got = [(r["value"], r["entry"]) for r in canonical.similar_entries(values, entries, threshold).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+        assert any(len(set(sets[int(v[1:])]) & set(sets[int(e[1:])])) * q == len(set(sets[int(v[1:])]) | set(sets[int(e[1:])])) * p for v, e in want)
+
+
+def test_without_synonyms(spark):
+    values = spark.createDataFrame([("hotel-pricerange", "budget"), ("hotel-pricerange", "chaep")], "slot string, value string")
+    lists = {"hotel-pricerange": ["cheap", "moderate", "expensive"]}
+    got = {r["value"]: r["canonical"] for r in canonical.canonical_values(values, lists, synonyms={}).collect()}
+    assert got == {"budget": "unmatched", "chaep": "cheap"}
+    own = {r["value"]: r["canonical"] for r in canonical.canonical_values(values, lists, synonyms={"pricerange": {"budget": "moderate"}}).collect()}
+    assert own["budget"] == "moderate"

@@ -23,6 +23,7 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
@@ -36,6 +37,8 @@ from turnloom.runtime import small, stored
 THRESHOLD = 0.4
 ABSENT = ("", "none", "not mentioned", "dontcare")
 UNMATCHED = "unmatched"
+#: Entries of all lists; the forms and word keys made of them go to every worker. More are refused, not cut.
+MOST_ENTRIES = 100_000
 
 #: Words around a value that don't change what it stands for.
 CARRIERS = frozenset(
@@ -185,15 +188,15 @@ def _forms(values: pd.Series) -> pd.Series:
     return pd.Series([[{"form": f, "tokens": tokens(f)} for f in forms(v)] for v in values], dtype=object)
 
 
-def _aliases(slot: str, entries: list[str]) -> dict[str, str]:
+def _aliases(slot: str, entries: list[str], synonyms: dict[str, dict[str, str]]) -> dict[str, str]:
     kind = slot.partition("-")[2].removeprefix("book ").strip()
-    found = dict(ALIASES.get(kind, {}))
+    found = dict(synonyms.get(kind, {}))
     if all(e.isdigit() for e in entries):
-        found |= ALIASES["number"]
+        found |= synonyms.get("number", {})
     return {a: e for a, e in found.items() if e in entries}
 
 
-def reference_forms(lists: dict[str, list[str]]) -> list[tuple[str, str, str, list[str], list[str]]]:
+def reference_forms(lists: dict[str, list[str]], synonyms: dict[str, dict[str, str]] = ALIASES) -> list[tuple[str, str, str, list[str], list[str]]]:
     """(slot, entry, form, tokens, generic words) of every entry and alias; the lists are a fixed small table.
 
     Generic are the last words several entries share (court, inn) and words met only before one of them (guest house).
@@ -209,7 +212,7 @@ def reference_forms(lists: dict[str, list[str]]) -> list[tuple[str, str, str, li
         compound = {w for w, at in before_last.items() if len({x for x, _ in at}) == 1 and at[0][0] in last and len({y for _, y in at}) >= 3}
         generic = sorted(last | compound | {"the"})
         several = [e for e in entries if " " in e]
-        for form, entry in [(f, e) for e in entries for f in forms(e)] + [(fold(a), e) for a, e in _aliases(slot, entries).items()]:
+        for form, entry in [(f, e) for e in entries for f in forms(e)] + [(fold(a), e) for a, e in _aliases(slot, entries, synonyms).items()]:
             rows.append((slot, entry, form, tokens(form), generic if several else []))
     return list({(r[0], r[1], r[2]): r for r in rows}.values())
 
@@ -219,9 +222,16 @@ def _ordered(df: DataFrame, key: list[str], rarity: DataFrame) -> DataFrame:
     return df.select(*key, F.explode("tokens").alias("token")).join(rarity, "token").groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "token"))), lambda x: x["token"]).alias("sorted"))
 
 
+def _whole(threshold: float) -> tuple[int, int]:
+    """The threshold as a fraction of whole numbers, so that pairs exactly at it are kept."""
+    exact = Fraction(str(threshold))
+    return exact.numerator, exact.denominator
+
+
 def _prefix(df: DataFrame, threshold: float) -> Column:
+    p, q = _whole(threshold)
     size = F.size("sorted")
-    return F.slice("sorted", 1, (size - F.ceil(size * F.lit(threshold)) + 1).cast("int"))
+    return F.slice("sorted", 1, (size - F.floor((size * p + (q - 1)) / q) + 1).cast("int"))
 
 
 def similar_entries(values: DataFrame, reference: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -229,6 +239,7 @@ def similar_entries(values: DataFrame, reference: DataFrame, threshold: float =
 
     ``values``: slot, value, form, tokens; ``reference``: slot, entry, entry_form, tokens, generic.
     """
+    p, q = _whole(threshold)
     rarity = values.select("slot", "form", F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
     rarity = rarity.join(reference.select(F.explode("tokens").alias("token")).distinct(), "token", "full").select("token", F.coalesce("n", F.lit(0)).alias("n"))
     left = _ordered(values.select("slot", "form", "tokens").distinct(), ["slot", "form"], rarity)
@@ -236,17 +247,17 @@ def similar_entries(values: DataFrame, reference: DataFrame, threshold: float =
     l = left.select("slot", "form", F.size("sorted").alias("size"), "sorted", F.posexplode(_prefix(left, threshold)).alias("at", "token"))
     r = right.withColumnRenamed("entry_sorted", "sorted")
     r = r.select("slot", "entry", "entry_form", F.size("sorted").alias("entry_size"), F.col("sorted").alias("entry_sorted"), F.posexplode(_prefix(r, threshold)).alias("entry_at", "token"))
-    needed = (F.col("size") + F.col("entry_size")) * (threshold / (1 + threshold))
+    both = F.col("size") + F.col("entry_size")  # c common tokens are p/q or more of the union where c (p + q) is p times both or more
     pairs = l.join(r, ["slot", "token"]).where(
-        (F.col("entry_size") >= F.col("size") * threshold) & (F.col("size") >= F.col("entry_size") * threshold)
+        (F.col("entry_size") * q >= F.col("size") * p) & (F.col("size") * q >= F.col("entry_size") * p)
     )
     # a pair meets at each common prefix token; only its first meeting is kept, where the positional bound counts all tokens after it
     first = pairs.where(
         (F.element_at(F.array_intersect(F.slice("sorted", 1, F.col("at") + 1), F.slice("entry_sorted", 1, F.col("entry_at") + 1)), 1) == F.col("token"))
-        & (F.least(F.col("size") - F.col("at"), F.col("entry_size") - F.col("entry_at")) >= needed)
+        & (F.least(F.col("size") - F.col("at"), F.col("entry_size") - F.col("entry_at")) * (p + q) >= both * p)
     )
     common = F.size(F.array_intersect("sorted", "entry_sorted"))
-    checked = first.withColumn("similarity", common / (F.col("size") + F.col("entry_size") - common)).where(F.col("similarity") >= threshold)
+    checked = first.withColumn("_common", common).where(F.col("_common") * (p + q) >= both * p).withColumn("similarity", F.col("_common") / (both - F.col("_common")))
     return checked.select("slot", "form", "entry", "entry_form", "similarity").join(values.select("slot", "value", "form"), ["slot", "form"]).join(reference.select("slot", "entry", "entry_form", "generic"), ["slot", "entry", "entry_form"])
 
 
@@ -302,12 +313,11 @@ class EntryIndex:
                     met |= self.by_key.get((slot, key), set())
         at, most, letters = self.joined[slot]
         met.update(at[np.abs(letters - _letters(form.replace(" ", ""))).sum(axis=1) <= 2 * most].tolist())
-        own, out = set(tokens(form)) if met else set(), []
+        (p, q), own, out = _whole(threshold), set(tokens(form)) if met else set(), []
         for i in sorted(met):
             entry, entry_form, theirs, generic = self.rows[i]
-            similarity = len(own & theirs) / len(own | theirs)
-            if similarity < threshold:
-                out.append((entry, entry_form, generic, similarity))
+            if len(own & theirs) * q < len(own | theirs) * p:
+                out.append((entry, entry_form, generic, len(own & theirs) / len(own | theirs)))
         return out
 
     @functools.cached_property
@@ -336,10 +346,10 @@ def _distance(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iter
         yield pd.Series([stands_for(form, entry, frozenset(generic.split())) for form, entry, generic in zip(a, b, g)], dtype="float64")
 
 
-def canonical_values(values: DataFrame, lists: dict[str, list[str]], threshold: float = THRESHOLD) -> DataFrame:
-    """slot, value, canonical of distinct ``values`` (slot, value), ``UNMATCHED`` where no entry is meant."""
+def canonical_values(values: DataFrame, lists: dict[str, list[str]], threshold: float = THRESHOLD, synonyms: dict[str, dict[str, str]] = ALIASES) -> DataFrame:
+    """slot, value, canonical of distinct ``values`` (slot, value), ``UNMATCHED`` where no entry is meant; ``synonyms`` may be empty."""
     spark = values.sparkSession
-    rows = reference_forms(lists)
+    rows = reference_forms(lists, synonyms)
     reference = spark.createDataFrame([(s, e, f, t, " ".join(g)) for s, e, f, t, g in rows], "slot string, entry string, entry_form string, tokens array<string>, generic string")
     read = values.select("slot", "value", F.explode(_forms("value")).alias("f")).select("slot", "value", "f.form", "f.tokens")
     read = stored(read, "value-forms")
@@ -349,13 +359,15 @@ def canonical_values(values: DataFrame, lists: dict[str, list[str]], threshold:
     return values.join(best, ["slot", "value"], "left").withColumn("canonical", F.coalesce("canonical", F.lit(UNMATCHED)))
 
 
-def canonical_slots(dialogues: DataFrame, slot_descriptions: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def canonical_slots(dialogues: DataFrame, slot_descriptions: DataFrame, threshold: float = THRESHOLD, synonyms: dict[str, dict[str, str]] = ALIASES) -> DataFrame:
     """rec_id, turn_no, slot, value, canonical of every freely typed value in the turns' ``slot_values``."""
-    lists = {r["slot"]: [e for e in r["value"] if e is not None] for r in small(slot_descriptions.where(F.size("value") > 0).select("slot", "value"), 10_000)}
+    lists: dict[str, list[str]] = {}
+    for r in small(slot_descriptions.where("slot is not null").select("slot", F.explode("value").alias("entry")).where("entry is not null"), MOST_ENTRIES):
+        lists.setdefault(r["slot"], []).append(r["entry"])
     spark = dialogues.sparkSession
     entries = F.broadcast(spark.createDataFrame([(s, e) for s, l in lists.items() for e in l], "slot string, value string"))
     cells = dialogues.select("rec_id", F.posexplode("turns").alias("turn_no", "_t")).select("rec_id", "turn_no", F.explode("_t.state.slot_values").alias("slot", "value"))
     cells = cells.where(F.col("slot").isin(*lists) & F.col("value").isNotNull() & ~F.col("value").isin(*ABSENT)).join(entries, ["slot", "value"], "left_anti")
     distinct = stored(cells.groupBy("slot", "value").agg(F.count("*").alias("_n")), "distinct-values")
-    found = canonical_values(distinct.select("slot", "value"), lists, threshold)
+    found = canonical_values(distinct.select("slot", "value"), lists, threshold, synonyms)
     return attach(cells, stored(found.join(distinct, ["slot", "value"]), "canonical-values"), ["slot", "value"])
