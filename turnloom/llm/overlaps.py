@@ -316,11 +316,24 @@ def _members(records: DataFrame, train: str, evaluation: tuple[str, ...]) -> Dat
     return records.select("rec_id", "split", "source", role.alias("role"), words.alias("words")).where(F.col("role").isNotNull() & (F.col("words") != "")).withColumn("conv", F.md5("words"))
 
 
+def _classes(members: DataFrame) -> DataFrame:
+    """conv, words, n_train, n_eval, n_words of the distinct conversations."""
+    classes = members.groupBy("conv").agg(F.first("words").alias("words"), F.sum((F.col("role") == "train").cast("long")).alias("n_train"), F.sum((F.col("role") == "eval").cast("long")).alias("n_eval"))
+    return stored(classes.withColumn("n_words", F.size(F.split("words", " "))), "conversation-classes")
+
+
+def overlap_classes(records: DataFrame, *, train: str = "train", evaluation: tuple[str, ...] = ("dev", "test"), share: float = SHARE) -> DataFrame:
+    """eval_conv, train_conv, common, longer, n_eval, n_train, n_links: every pair of classes of equal conversations with the record pairs it stands for."""
+    classes = _classes(stored(_members(records, train, evaluation), "conversations"))
+    pairs = overlapping_classes(classes, share)
+    sized = pairs.join(classes.select(F.col("conv").alias("train_conv"), "n_train"), "train_conv").join(classes.select(F.col("conv").alias("eval_conv"), "n_eval"), "eval_conv")
+    return sized.select("eval_conv", "train_conv", "common", "longer", "n_eval", "n_train", (F.col("n_eval") * F.col("n_train")).alias("n_links"))
+
+
 def overlapping_records(records: DataFrame, *, train: str = "train", evaluation: tuple[str, ...] = ("dev", "test"), share: float = SHARE) -> DataFrame:
     """train_rec, eval_rec, eval_split, eval_source, common, longer of every cross-split pair."""
     members = stored(_members(records, train, evaluation), "conversations")
-    classes = members.groupBy("conv").agg(F.first("words").alias("words"), F.sum((F.col("role") == "train").cast("long")).alias("n_train"), F.sum((F.col("role") == "eval").cast("long")).alias("n_eval"))
-    classes = stored(classes.withColumn("n_words", F.size(F.split("words", " "))), "conversation-classes")
+    classes = _classes(members)
     pairs = stored(overlapping_classes(classes, share), "class-pairs")
     trained = members.where("role = 'train'").select(F.col("conv").alias("train_conv"), F.col("rec_id").alias("train_rec"))
     evaluated = members.where("role = 'eval'").select(F.col("conv").alias("eval_conv"), F.col("rec_id").alias("eval_rec"), F.col("split").alias("eval_split"), F.col("source").alias("eval_source"))
@@ -330,8 +343,7 @@ def overlapping_records(records: DataFrame, *, train: str = "train", evaluation:
 def overlap_report(records: DataFrame, *, train: str = "train", evaluation: tuple[str, ...] = ("dev", "test"), share: float = SHARE) -> DataFrame:
     """Per evaluation split and source: records, those found in training, those found word for word, and pairs."""
     members = stored(_members(records, train, evaluation), "conversations")
-    classes = members.groupBy("conv").agg(F.first("words").alias("words"), F.sum((F.col("role") == "train").cast("long")).alias("n_train"), F.sum((F.col("role") == "eval").cast("long")).alias("n_eval"))
-    classes = stored(classes.withColumn("n_words", F.size(F.split("words", " "))), "conversation-classes")
+    classes = _classes(members)
     pairs = overlapping_classes(classes, share).join(classes.select(F.col("conv").alias("train_conv"), "n_train"), "train_conv")
     hit = pairs.groupBy(F.col("eval_conv").alias("conv")).agg(F.sum("n_train").alias("n_partners"), F.max((F.col("train_conv") == F.col("eval_conv")).cast("long")).alias("exact"))
     each = members.where("role = 'eval'").join(hit, "conv", "left")

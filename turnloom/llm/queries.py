@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from turnloom.llm.canonical import UNMATCHED, canonical_slots
 from turnloom.llm.containers import container_report, documents_in_containers
-from turnloom.llm.overlaps import overlap_report, overlapping_records
+from turnloom.llm.overlaps import overlap_classes, overlap_report, overlapping_records
 from turnloom.llm.splits import keep_together, related_pairs, split_report
 from turnloom.llm.subjects import subject_areas, subject_report
 from turnloom.llm.tokens import encode_corpus
@@ -51,6 +51,10 @@ def p3_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlap_report(table(spark, sf_dir, "dialogue"))
 
 
+def p3_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlap_classes(table(spark, sf_dir, "dialogue"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     best = top_per_group(retrieved_items(table(spark, sf_dir, "query_turns")), group="query_id", item="graph_id", score="score", n=3)
     return best.select("query_id", "place", "graph_id")
@@ -76,7 +80,7 @@ def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subject_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "subject_examples"), table(spark, sf_dir, "subject_areas"), source="source")
 
 
-QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_splits": p1_splits, "p1_report": p1_report, "p2_found": p2_found, "p2_report": p2_report, "p3_found": p3_found, "p3_report": p3_report, "p4_found": p4_found, "p6_ids": p6_ids, "p7_containers": p7_containers, "p7_report": p7_report, "p8_found": p8_found, "p8_report": p8_report}
+QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_splits": p1_splits, "p1_report": p1_report, "p2_found": p2_found, "p2_report": p2_report, "p3_found": p3_found, "p3_report": p3_report, "p3_classes": p3_classes, "p4_found": p4_found, "p6_ids": p6_ids, "p7_containers": p7_containers, "p7_report": p7_report, "p8_found": p8_found, "p8_report": p8_report}
 
 SQL: dict[str, str] = {
     "p4_found": """
