@@ -82,5 +82,22 @@ def test_similarity(spark):
     assert [round(r[0], 4) for r in df.select(X.text_similarity(F.col("a"), F.col("b"))).collect()] == [1.0, 0.95, 0.3333, 0.0]
 
 
-def test_corpus_text(spark):
-    assert one(spark, "It's a B&B, call 012-345-6789 at cb2 1tt; 3 4 rooms!", X.corpus_text) == "it 's a bed and breakfast , call 0123456789 at cb21tt 34 rooms !"
+@pytest.mark.parametrize(
+    ("text", "kept"),
+    [
+        ("  It's a B&B, call 012-345-6789 at cb2 1tt; 3 4 rooms! ", "it s a bed and breakfast , call 0123456789 at cb2 1tt , 34 rooms !"),
+        ("north/south, 12.30 or 5.", "north and south , 12.30 or 5 ."),
+        ('the "Old <Inn>" (by@mail)', "the old inn bymail"),
+        ("guests' rooms at john's", "guests rooms at john s"),
+        ("'quoted'", "quoted"),
+        ("1 2 3 a4 5", "123 a4 5"),
+        ("b and b, please?", "bed and breakfast , please ?"),
+        ("don\u2019t", "don't"),
+    ],
+)
+def test_corpus_text(spark, text, kept):
+    assert one(spark, text, X.corpus_text) == kept
+
+
+def test_corpus_text_replacements(spark):
+    assert one(spark, "The centre, the CENTRE.", lambda c: X.corpus_text(c, {"centre": "center"})) == "the center , the center ."

@@ -79,3 +79,12 @@ def test_long_fields(spark):
     df = spark.createDataFrame([(1, text), (2, "x" * 100000)], "id int, t string").withColumn("value", F.lit(0))
     got = unpack_values(df, "t", ["id"]).groupBy("id").agg(F.count("*").alias("n"), F.max("value_no").alias("m")).orderBy("id").collect()
     assert [tuple(r) for r in got] == [(1, 20000, 19999), (2, 1, 0)]
+
+
+def test_hostile_fields_take_linear_time():
+    import time
+
+    for text in ("'a" * 200_000, "[" * 200_000 + "]", 'x"' * 200_000, "a'" * 200_000 + " ,b", " '" * 200_000):
+        began = time.perf_counter()
+        tokenize(text)
+        assert time.perf_counter() - began < 8

@@ -109,3 +109,23 @@ def test_batched_predictor(spark):
 
     df = spark.createDataFrame([("a",), (None,), ("b",)], "p string").coalesce(1)
     assert [r[0] for r in df.select(rolling.batched_predictor(model, 1)(F.col("p"))).collect()] == ["A", None, "B"] and seen == []
+
+
+def test_dialogues_advance_together(spark, tmp_path):
+    rows = [(f"d{i}", t, f"v{i}{t},x", ["hotel-area"] if (i + t) % 3 else []) for i in range(9) for t in range(1 + i % 4)]
+    df = spark.createDataFrame(rows, "rec_id string, turn_no int, user string, candidates array<string>")
+    log = str(tmp_path / "calls")
+
+    def model(pending):
+        with open(log, "a") as f:
+            f.write(f"{len(pending)}\n")
+        return [rolling.carry_predictor(state, row) for state, row in pending]
+
+    want = {(r["key"], r["turn_no"]): (r["predicted"], r["state"]) for r in rolling.rolling_batch(df).collect()}
+    for width in (64, 1):
+        open(log, "w").close()
+        got = {(r["key"], r["turn_no"]): (r["predicted"], r["state"]) for r in rolling.rolling_together(df, model, width=width).collect()}
+        sizes = [int(x) for x in open(log).read().split()]
+        assert got == want and sum(sizes) == len(rows) and max(sizes) <= width
+        tasks = 4  # the session's shuffle partitions; the longest dialogue has four steps
+        assert len(sizes) == len(rows) if width == 1 else len(sizes) <= 4 * tasks

@@ -136,27 +136,25 @@ def is_ascii(c: Column) -> Column:
 
 
 def corpus_text(c: Column, replacements: dict[str, str] | None = None) -> Column:
-    """Raw utterances as the corpora keep them: lower case, phone numbers and postcodes without inner blanks, punctuation set off, digits joined."""
-    steps = (
-        (r"b&b|b & b", "bed and breakfast"),
-        (r"(\d{3})[- ](\d{3})[- ](\d{4,5})", "$1$2$3"),
-        (r"\b([a-z]{1,2}\d{1,2}) (\d[a-z]{2})\b", "$1$2"),
-        ("[\u2018\u2019]", "'"),
-        ("[\u201c\u201d\"]", " "),
-        (r"[;/]", " "),
-        (r"(?<=\D)-(?=\D)", " "),
-        (r"\s*([,.?!])(?!\d)\s*", " $1 "),
-        (r"(?<=\w)('s|'re|'ve|'ll|'d|'m|n't)\b", " $1"),
-        (r"(?<=\d) (?=\d)", ""),
-        (r"(?U)\s+", " "),
-    )
-    out = F.lower(F.trim(c))
+    """Raw utterances as the corpora keep them.
+
+    Lower case, trimmed; short forms of bed and breakfast written out; curly apostrophes
+    straight; semicolons as commas, slashes as "and", hyphens as blanks; double quotes,
+    angle and round brackets and at signs dropped; sentence signs set off unless digits
+    stand on both sides; a genitive s set off, apostrophes next to blanks or at the ends
+    dropped; words replaced by ``replacements``; numbers that follow each other joined.
+    """
+    steps = [("b&b", "bed and breakfast"), ("b and b", "bed and breakfast"), ("[\u2018\u2019]", "'"), (";", ","), ("/", " and "), ("-", " "), (r'["<>@()]', "")]
+    steps += [(rf"(?<![0-9])[{sign}]|[{sign}](?![0-9])", f" {sign} ") for sign in "?.,!"]
+    steps += [("'s(?= |$)", " 's"), ("'s(?=[^ ])", " ' s"), ("^'", ""), ("'$", ""), (r"(?U)'\s", " "), (r"(?U)\s'", " ")]
+    out = F.regexp_replace(F.lower(c), r"(?U)^\s+|\s+$", "")
     for pattern, to in steps:
         out = F.regexp_replace(out, pattern, to)
     for word, to in (replacements or {}).items():
         out = F.replace(F.concat(F.lit(" "), out, F.lit(" ")), F.lit(f" {word} "), F.lit(f" {to} "))
-        out = F.trim(out)
-    return F.trim(out)
+        out = F.substring(out, F.lit(2), F.length(out) - 2)
+    out = F.regexp_replace(F.regexp_replace(out, r"(?U)\s+", " "), "^ | $", "")
+    return F.regexp_replace(out, r"(?<![^ ])(\d+) (?=\d+(?: |$))", "$1")
 
 
 def mask_domains(c: Column) -> Column:

@@ -85,9 +85,10 @@ def graph_store(dialogues: DataFrame, slot_descriptions: DataFrame, *, window: i
     keys, turn_no, turn_id, graph_id, context, labels_for_retrieval, slots, tasklabels, values, neg_slots, edges.
     """
     states = F.col("turns.state.slot_values")
-    rows = turn_table(dialogues.withColumn("_states", states), "taklabels", keys=(*keys, "_states"), computed={"text": context_lines(window), "before": shifted(states)})
+    known = computed_once(dialogues, _states=states)
+    labelled = F.transform(F.col("turns.taklabels"), lambda events, i: task_labels(events, F.col("_states"), i))
+    rows = turn_table(known, "taklabels", keys=keys, computed={"text": context_lines(window), "before": shifted(states), "tasklabels": labelled})
     rows = rows.where(F.size("taklabels") > 0)
-    rows = computed_once(rows, tasklabels=task_labels(F.col("taklabels"), F.col("_states"), F.col("turn_no")))
     rows = computed_once(rows, active=F.array_distinct(F.transform("tasklabels", lambda t: t["slot"])))
     negatives = computed_once(rows, _neg=negative_slot_array(F.col("active"), slot_descriptions, [*keys, "turn_no"], seed))
     carry = lambda s: F.trim(F.coalesce(F.element_at("before", s), F.lit("")))

@@ -54,6 +54,11 @@ def latest_by_slot(records: Column, turn_no: Column) -> Column:
     return F.array_sort(F.transform(last, lambda r: F.struct(r["slot"].alias("slot"), r["turn_no"].alias("turn_no"), r["action"].alias("action"), r["value"].alias("value"))))
 
 
+def latest_before(records: Column) -> Column:
+    """For each turn of a dialogue the latest of its ``records`` of each slot before it: arrays that run along the turns."""
+    return F.transform(F.col("turns.turn_id"), lambda _, i: latest_by_slot(records, i))
+
+
 def domain_context(latest: Column, slot: Column) -> Column:
     """The latest activations of the slot's domain without the slot itself; else the other active domains; else None."""
     domain = S.domain_of(slot)

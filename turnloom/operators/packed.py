@@ -67,9 +67,19 @@ def _quoted(text: str, at: int, end: int) -> tuple[str, int] | None:
     return None
 
 
+def _last_end(text: str, quote: str, start: int, end: int) -> int:
+    """The last place where a quote could close; -1 if none."""
+    at = text.rfind(quote, start, end)
+    while at >= 0 and at + 1 < end and text[at + 1] not in _ENDS:
+        at = text.rfind(quote, start, at)
+    return at
+
+
 def _walk(text: str, start: int, end: int, separators: frozenset[str]) -> Iterator[tuple[str, bool, str]]:
     """(value, was quoted, separator after it) for each item between ``separators``, empty ones too."""
-    i, depth, parts, quoted = start, [], [], False
+    i, depth, parts, quoted, filled = start, [], [], False, False
+    closes = {c: text.rfind(c, start, end) for c in CLOSERS}  # the last place of each, so that no search is repeated
+    ends = {q: _last_end(text, q, start, end) for q in "\"'"}
     while i < end:
         c = text[i]
         if depth:
@@ -81,19 +91,22 @@ def _walk(text: str, start: int, end: int, separators: frozenset[str]) -> Iterat
             i += 1
         elif c in separators:
             yield "".join(parts).strip(_BLANK), quoted, c
-            parts, quoted = [], False
+            parts, quoted, filled = [], False, False
             i += 1
-        elif c in "\"'" and not "".join(parts).strip(_BLANK) and not quoted and (run := _quoted(text, i, end)):
-            parts, quoted, i = [run[0]], True, run[1]
-        elif c in CLOSER and text.find(CLOSER[c], i + 1, end) > 0:
+        elif c in "\"'" and not filled and not quoted and i < ends[c] and (run := _quoted(text, i, end)):
+            parts, quoted, i, filled = [run[0]], True, run[1], bool(run[0].strip(_BLANK))
+        elif c in CLOSER and closes[CLOSER[c]] > i:
             depth.append(CLOSER[c])
             parts.append(c)
+            filled = True
             i += 1
         elif c == "\\" and i + 1 < end and text[i + 1] in separators:
             parts.append(text[i + 1])
+            filled = filled or text[i + 1] not in BLANKS
             i += 2
         else:
             parts.append(c)
+            filled = filled or c not in BLANKS
             i += 1
     yield "".join(parts).strip(_BLANK), quoted, ""
 

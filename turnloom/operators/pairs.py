@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from turnloom.functions import slots as S
 from turnloom.functions import text as X
-from turnloom.operators.memory import latest_by_slot, memory_records
+from turnloom.operators.memory import latest_before, memory_records
 from turnloom.operators.turns import computed_once, context_lines, turn_table
 from turnloom.runtime import small
 
@@ -112,9 +112,9 @@ def preference_pairs(
     (``predictions``: keys, turn_no, slot, pred); NONE for inactive slots that the turn
     seems to mention, or that have a memory. A pair found twice keeps its first type.
     """
-    records = dialogues.withColumn("_records", memory_records())
+    records = computed_once(dialogues, _records=memory_records())
     parts = [F.col(k).cast("string") for k in (*keys, "turn_no")]
-    turns = turn_table(records, "taklabels", keys=(*keys, "_records")).withColumn("masked", X.hash_unit(F.lit(seed), F.lit("mask"), *parts) < mask_share)
+    turns = turn_table(records, "taklabels", keys=keys, computed={"_latest": latest_before(F.col("_records"))}).withColumn("masked", X.hash_unit(F.lit(seed), F.lit("mask"), *parts) < mask_share)
     events = turns.select(*keys, "turn_no", "masked", F.posexplode("taklabels").alias("_no", "_e"))
     tokens = S.label_tokens(F.col("_e")["label-2"])
     gold = events.select(*keys, "turn_no", "masked", "_no", F.trim("_e.slot").alias("slot"), S.resolve_label(F.col("_e")["label-1"], tokens, "memory").alias("chosen"), F.trim(F.coalesce("_e.curr_val", F.lit(""))).alias("value"), S.tagged_value(tokens, "refered-slot").alias("ref_slot")).where(F.col("slot") != "")
@@ -133,7 +133,7 @@ def preference_pairs(
     found = found.unionByName(mentioned.withColumns({**empty, "chosen": F.lit("NONE"), "rejected": F.lit("CONSTRAIN"), "pair_type": F.lit(PAIR_TYPES[2]), "reason": F.lit("inactive slot most like the context")}).select(*columns))
     universe = F.array(*[F.lit(s) for s in _universe(slot_descriptions)])
     active = F.coalesce(F.transform("taklabels", lambda e: F.trim(e["slot"])), F.array().cast("array<string>"))
-    idle = F.filter(latest_by_slot(F.col("_records"), F.col("turn_no")), lambda r: F.array_contains(universe, r["slot"]) & ~F.coalesce(F.array_contains(active, r["slot"]), F.lit(False)))
+    idle = F.filter("_latest", lambda r: F.array_contains(universe, r["slot"]) & ~F.coalesce(F.array_contains(active, r["slot"]), F.lit(False)))
     remembered = turns.select(*keys, "turn_no", "masked", F.explode(F.slice(idle, 1, most_memory)).alias("_m")).withColumns({**empty, "slot": F.col("_m.slot"), "chosen": F.lit("NONE"), "rejected": F.col("_m.action"), "pair_type": F.lit(PAIR_TYPES[3]), "reason": F.lit("inactive slot with a memory")})
     found = found.unionByName(remembered.select(*columns)).where(F.col("chosen") != F.col("rejected"))
     order = F.array_position(F.array(*[F.lit(t) for t in PAIR_TYPES]), F.col("pair_type"))

@@ -102,7 +102,7 @@ def negative_candidates(active: Column, slots: DataFrame, keys: list[str], seed:
     enemies = {s: [e for e in universe if e in split and split[e][0] == d and split[e][1] in CONFUSABLE.get(k, ())] for s, (d, k) in split.items()}
     homonyms = {s: [h for h in TAXI_HOMONYMS if h in universe] for s in ("taxi-departure", "taxi-destination") if s in universe}
     empty = F.array().cast("array<string>")
-    act = F.coalesce(active, empty)
+    act = F.filter(F.coalesce(active, empty), lambda a: a.isNotNull())
     domains = F.array_distinct(F.transform(act, S.domain_of))
     parts = [F.col(k).cast("string") for k in keys]
 

@@ -17,10 +17,10 @@ def attach(rows: DataFrame, per_key: DataFrame, keys: list[str], *, count: str =
     no key holds more than 1/:data:`HOT_PARTS` of the rows. ``per_key`` is read
     several times: hand in a stored table. Null keys match nothing.
     """
-    total = per_key.agg(F.sum(count)).first()[0] or 0
+    total, most = per_key.agg(F.sum(count), F.max(count)).first()
+    if (most or 0) <= (total or 0) / HOT_PARTS:
+        return rows.join(per_key.drop(count), keys)
     hot = F.col(count) > total / HOT_PARTS
     heavy = F.broadcast(per_key.where(hot))
-    if per_key.where(hot).limit(1).count() == 0:
-        return rows.join(per_key.drop(count), keys)
     light = rows.join(F.broadcast(per_key.where(hot).select(*keys)), keys, "left_anti").join(per_key.where(~hot).drop(count), keys)
     return rows.join(heavy.drop(count), keys).unionByName(light)

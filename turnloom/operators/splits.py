@@ -66,11 +66,13 @@ def exact_share(rows: DataFrame, key: str, share: float, seed: str = "13") -> Da
     The threshold hash is found by counting hash ranges, then ranking inside the one
     range it falls in, so no task sorts the whole table.
     """
-    hashed = rows.withColumn("_h", F.md5(F.concat_ws("|", F.lit(seed), F.col(key).cast("string"))))
-    ranges = hashed.groupBy(F.substring("_h", 1, 4).alias("_r")).agg(F.count("*").alias("_n"))
-    before = ranges.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # at most 65,536 ranges
-    wanted = rows.agg(F.bround(F.count("*") * F.lit(share)).cast("long").alias("_wanted"))
-    limits = before.crossJoin(F.broadcast(wanted))
-    rank = F.row_number().over(Window.partitionBy("_r").orderBy("_h", key))
-    placed = hashed.withColumn("_r", F.substring("_h", 1, 4)).withColumn("_k", rank).join(limits, "_r")
-    return placed.withColumn("chosen", F.col("_k") + F.col("_before") <= F.col("_wanted")).select(*rows.columns, "chosen")
+    hashed = rows.withColumn("_h", F.md5(F.concat_ws("|", F.lit(seed), F.col(key).cast("string")))).withColumn("_r", F.substring("_h", 1, 4))
+    ranges = hashed.groupBy("_r").agg(F.count("*").alias("_n"))  # at most 65,536
+    whole = Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    limits = ranges.withColumn("_before", before).withColumn("_wanted", F.bround(F.sum("_n").over(whole) * F.lit(share)).cast("long"))
+    placed = hashed.join(F.broadcast(limits), "_r")
+    edge = (F.col("_before") < F.col("_wanted")) & (F.col("_before") + F.col("_n") > F.col("_wanted"))
+    sure = placed.where(~edge).select(*rows.columns, (F.col("_before") < F.col("_wanted")).alias("chosen"))
+    ranked = placed.where(edge).withColumn("_k", F.row_number().over(Window.partitionBy("_r").orderBy("_h", key)))
+    return sure.unionByName(ranked.select(*rows.columns, (F.col("_k") + F.col("_before") <= F.col("_wanted")).alias("chosen")))

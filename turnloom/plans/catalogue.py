@@ -12,6 +12,7 @@ from turnloom.functions import text as X
 from turnloom.operators import coref, evaluate, graph, memory, pairs, prompts, retrieve, sampling, splits, state, turns
 from turnloom.operators.packed import label_values
 from turnloom.plans import sql as Q
+from turnloom.plans import sql_samples as M
 from turnloom.runtime import small, spread, table
 from turnloom.sources import readers
 from turnloom.streaming import rolling
@@ -93,7 +94,7 @@ of_dialogues("run_start_turn", Q.RUN_STARTS, state.run_starts)
 of_dialogues("first_valid_turn", Q.FIRST_VALID, state.first_valid_turns)
 of_dialogues("ontology_values", Q.ONTOLOGY, lambda d: state.observed_values(d).select("slot", "n_values", joined("values")))
 of_dialogues("slot_memory", Q.SLOT_MEMORY, memory.slot_memories)
-of_dialogues("memory_contexts", None, memory.memory_contexts)
+of_dialogues("memory_contexts", M.MEMORY_CONTEXTS, memory.memory_contexts)
 of_dialogues(
     "label_resolution",
     Q.LABEL_RESOLUTION,
@@ -112,11 +113,11 @@ def memory_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- texts
 of_dialogues("gate_types", Q.GATES, lambda d: turns.turn_table(d, "system", "user").select("rec_id", "turn_no", X.gate_type(F.col("system"), F.col("user")).alias("gate")))
-of_dialogues("normalize_values", None, lambda d: turns.state_table(d).select("slot", "value").where("value is not null").distinct().select("slot", "value", X.normalize_value(F.col("value")).alias("norm")))
+of_dialogues("normalize_values", M.NORMALIZE_VALUES, lambda d: turns.state_table(d).select("slot", "value").where("value is not null").distinct().select("slot", "value", X.normalize_value(F.col("value")).alias("norm")))
 of_dialogues("value_mentions", Q.VALUE_MENTIONS, lambda d: turns.turn_table(d, "user", "slot_values").select("rec_id", "turn_no", "user", F.explode("slot_values").alias("slot", "value")).where(X.value_in_text(F.col("value"), F.col("user"))).select("rec_id", "turn_no", "slot"))
 of_dialogues("hash_mask", Q.HASH_MASK, lambda d: splits.masked_turns(turns.turn_table(d), ["rec_id", "turn_no"]).select("rec_id", "turn_no", "masked"))
 of_dialogues("hash_unit", Q.HASH_UNIT, lambda d: d.select("rec_id", F.round(X.hash_unit(F.lit("13"), F.col("rec_id").cast("string")), 9).alias("unit")))
-of_dialogues("corpus_text", None, lambda d: turns.turn_table(d, "user").select("rec_id", "turn_no", X.corpus_text(F.col("user"), {"centre": "center"}).alias("text")))
+of_dialogues("corpus_text", M.CORPUS_TEXT, lambda d: turns.turn_table(d, "user").select("rec_id", "turn_no", X.corpus_text(F.col("user"), {"centre": "center"}).alias("text")))
 
 
 @query("slot_names", Q.SLOT_NAMES)
@@ -125,7 +126,7 @@ def slot_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return slots(spark, sf_dir).select("slot", S.domain_of(s).alias("domain"), S.type_of(s).alias("slot_type"), S.mask_slot(s).alias("masked"), S.canonical_slot(s).alias("canonical"), S.canonical_type(s).alias("kind"))
 
 
-@query("slot_texts")
+@query("slot_texts", M.SLOT_TEXTS)
 def slot_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.describe_slots(slots(spark, sf_dir)).select("slot", "serialized", "pipe_text", "model_text", S.value_examples(F.col("value")).alias("examples"), X.json_list(S.value_candidates(F.col("value"), F.col("slot_type"))).alias("candidates"))
 
@@ -159,7 +160,7 @@ def ranked_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("l_orderkey", F.col("tier").cast("long").alias("tier"), F.col("l_linenumber").cast("long").alias("l_linenumber"))
 
 
-@query("negative_slots")
+@query("negative_slots", M.NEGATIVE_SLOTS)
 def negative_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = turns.turn_table(dialogues(spark, sf_dir), "taklabels").where(F.size("taklabels") > 0).select("rec_id", "turn_no", F.transform("taklabels", lambda e: e["slot"]).alias("active"))
     return sampling.negative_slots(rows, slots(spark, sf_dir), keys=["rec_id", "turn_no"])
@@ -264,10 +265,10 @@ of_dialogues(
     .select("rec_id", "turn_no", F.explode(graph.event_edges(F.col("taklabels"), graph.task_labels(F.col("taklabels"), F.col("_s"), F.col("turn_no")))).alias("e"))
     .select("rec_id", "turn_no", F.col("e.rel").alias("rel"), F.coalesce("e.src.id", "e.src.slot", "e.src.t").alias("src"), F.coalesce("e.dst.id", "e.dst.slot").alias("dst"), F.coalesce("e.dst.value", F.lit("")).alias("value")),
 )
-query("graph_store_build")(lambda spark, sf_dir: graph.graph_store(spread(dialogues(spark, sf_dir)), slots(spark, sf_dir)).select("rec_id", "turn_no", "graph_id", joined("labels_for_retrieval"), joined("slots"), F.size("edges").alias("n_edges")))
+query("graph_store_build", M.GRAPH_STORE)(lambda spark, sf_dir: graph.graph_store(spread(dialogues(spark, sf_dir)), slots(spark, sf_dir)).select("rec_id", "turn_no", "graph_id", joined("labels_for_retrieval"), joined("slots"), F.size("edges").alias("n_edges")))
 
 
-@query("edge_filter")
+@query("edge_filter", M.EDGE_FILTER)
 def edge_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The numbered edge lines of every slot of every stored turn graph."""
     g = graph.graph_store(spread(dialogues(spark, sf_dir)), slots(spark, sf_dir))
@@ -276,10 +277,28 @@ def edge_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("rec_id", "turn_no", "slot", F.array_join(graph.edge_lines(F.col("edges"), F.col("slot"), (*graph.POSITIVE, *graph.NEGATIVE), F.coalesce(label, F.lit("none"))), "\n").alias("lines"))
 
 
-query("slot_events_of_graphs")(lambda spark, sf_dir: graph.slot_event(graph.graph_store(dialogues(spark, sf_dir), slots(spark, sf_dir)).withColumn("slot", F.explode("slots")), "slot").select("rec_id", "turn_no", "slot", "label", "from_slot", "from_turn", "prev", "curr", "carry", "neg_type"))
-query("activation_samples")(lambda spark, sf_dir: pairs.activation_samples(spread(dialogues(spark, sf_dir)), slots(spark, sf_dir)))
-query("surface_mentions")(lambda spark, sf_dir: pairs.surface_mentions(spread(dialogues(spark, sf_dir)), slots(spark, sf_dir)))
-query("preference_pairs")(lambda spark, sf_dir: pairs.preference_pairs(spread(dialogues(spark, sf_dir)), slots(spark, sf_dir)))
+query("slot_events_of_graphs", M.SLOT_EVENTS)(lambda spark, sf_dir: graph.slot_event(graph.graph_store(dialogues(spark, sf_dir), slots(spark, sf_dir)).withColumn("slot", F.explode("slots")), "slot").select("rec_id", "turn_no", "slot", "label", "from_slot", "from_turn", "prev", "curr", "carry", "neg_type"))
+query("activation_samples", M.ACTIVATION_SAMPLES)(lambda spark, sf_dir: pairs.activation_samples(spread(dialogues(spark, sf_dir)), slots(spark, sf_dir)))
+query("surface_mentions", M.SURFACE_MENTIONS)(lambda spark, sf_dir: pairs.surface_mentions(spread(dialogues(spark, sf_dir)), slots(spark, sf_dir)))
+query("preference_pairs", M.PREFERENCE_PAIRS)(lambda spark, sf_dir: pairs.preference_pairs(spread(dialogues(spark, sf_dir)), slots(spark, sf_dir)))
+
+
+@query("lexical_similarity", M.LEXICAL_SIMILARITY)
+def lexical_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The inactive slots whose words are at least a fifth like the turn's."""
+    found = pairs.surface_mentions(dialogues(spark, sf_dir), slots(spark, sf_dir), most=1000, least=0.2)
+    return found.select("rec_id", "turn_no", "slot", "similarity")
+
+
+query("pair_dedupe", M.PAIR_DEDUPE)(lambda spark, sf_dir: pairs.preference_pairs(dialogues(spark, sf_dir), slots(spark, sf_dir)).groupBy("pair_type", "chosen", "rejected").agg(F.count("*").alias("n_pairs"), F.count_distinct("rec_id").alias("n_records")))
+
+
+@query("domain_memory_latest", M.LATEST_MEMORY)
+def domain_memory_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each slot's latest activation before every turn."""
+    known = turns.computed_once(dialogues(spark, sf_dir), _records=memory.memory_records())
+    rows = turns.turn_table(known, computed={"latest": memory.latest_before(F.col("_records"))})
+    return rows.select("rec_id", "turn_no", F.explode("latest").alias("m")).select("rec_id", "turn_no", "m.slot", F.col("m.turn_no").alias("last_turn"), "m.action", "m.value")
 
 
 @query("pair_layouts")
@@ -289,13 +308,13 @@ def pair_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.pair_layout(asked, "openai").select(F.to_json("messages").alias("messages"), F.to_json("chosen").alias("chosen"), F.to_json("rejected").alias("rejected"))
 
 
-@query("render_prompt")
+@query("render_prompt", M.RENDER_PROMPT)
 def render_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
     d, s = spread(dialogues(spark, sf_dir)), slots(spark, sf_dir)
     return prompts.activation_prompts(pairs.activation_samples(d, s), d, s).select("rec_id", "turn_no", "pos_slot", "sample_no", "gate", "prompt", "label")
 
 
-query("value_prompts")(lambda spark, sf_dir: prompts.value_prompts(dialogues(spark, sf_dir), slots(spark, sf_dir)))
+query("value_prompts", M.VALUE_PROMPTS)(lambda spark, sf_dir: prompts.value_prompts(dialogues(spark, sf_dir), slots(spark, sf_dir)))
 
 
 @query("reasoning_samples")
@@ -311,7 +330,7 @@ def reasoning_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prompts.reasoning_samples(events, g, turns.contexts(d, 4, "spoken"), s)
 
 
-@query("best_text_match")
+@query("best_text_match", M.BEST_TEXT_MATCH)
 def best_text_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The turn each user text belongs to, found by its words."""
     d = dialogues(spark, sf_dir)
@@ -326,6 +345,6 @@ def reference_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coref.reference_labels(rows, d).select("rec_id", "turn_no", "slot", joined("tags"), "prev_val", "curr_val")
 
 
-@query("rolling_predict")
+@query("rolling_predict", M.ROLLING)
 def rolling_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rolling.rolling_batch(turns.turn_table(dialogues(spark, sf_dir), "user", "candidates")).select("key", "turn_no", F.map_entries("predicted").alias("predicted"), F.size("state").alias("n_slots"))
+    return rolling.rolling_batch(turns.turn_table(dialogues(spark, sf_dir), "user", "candidates")).select("key", "turn_no", F.array_join(F.transform(F.map_entries("predicted"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";").alias("predicted"), F.size("state").alias("n_slots"))

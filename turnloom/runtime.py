@@ -1,4 +1,4 @@
-"""Session settings and lineage cuts shared by all operators."""
+"""Session settings and intermediate tables shared by all operators."""
 
 from __future__ import annotations
 
@@ -43,12 +43,6 @@ def shared_folder(spark: SparkSession) -> str:
     return found
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint ``df`` into the shared folder, so that its lineage ends there and lost executors cost nothing."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back (columnar, so later scans prune columns)."""
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/turnloom/{name}-{uuid.uuid4().hex}"
@@ -65,9 +59,9 @@ def small(df: DataFrame, most: int) -> list:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` over all cores if it has fewer partitions than there are; large tables stay as they are."""
+    """``df`` over all cores if it is read from fewer files than there are; tables of many files stay as they are."""
     wanted = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(wanted) if df._jdf.queryExecution().toRdd().getNumPartitions() < wanted else df
+    return df.repartition(wanted) if len(df.inputFiles()) < wanted else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -17,6 +17,8 @@ from pyspark.sql import types as T
 
 #: predict(state, turn row) -> {slot: value}; '' or none deletes a slot.
 Predictor = Callable[[dict[str, str], dict[str, Any]], dict[str, str]]
+#: The same for the pending rows of several dialogues at once.
+BatchPredictor = Callable[[list[tuple[dict[str, str], dict[str, Any]]]], list[dict[str, str]]]
 OUT = "key string, turn_no int, predicted map<string,string>, state map<string,string>"
 
 
@@ -71,6 +73,52 @@ def rolling_batch(turns: DataFrame, predict: Predictor = carry_predictor, *, key
     return turns.repartition(key).sortWithinPartitions(key, "turn_no").mapInPandas(run, OUT)
 
 
+def rolling_together(turns: DataFrame, predict: BatchPredictor, *, key: str = "rec_id", width: int = 64) -> DataFrame:
+    """As :func:`rolling_batch`, with one model call for a step of many dialogues.
+
+    A task holds up to ``width`` dialogues. Each call gets the pending row of every one of
+    them, with the state its own predictions made; a dialogue that ends makes room for the
+    next. So a task makes about as many calls as its dialogues have steps together, by ``width``.
+    """
+
+    def dialogues(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[str | None, list[dict[str, Any]]]]:
+        now, rows = None, []
+        for pdf in batches:
+            for row in pdf.to_dict("records"):
+                name = None if pd.isna(row[key]) else str(row[key])
+                if rows and name != now:
+                    yield now, rows
+                    rows = []
+                now = name
+                rows.append(row)
+        if rows:
+            yield now, rows
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        waiting = dialogues(batches)
+        active: list[dict[str, Any]] = []
+        while True:
+            while len(active) < width and (one := next(waiting, None)):
+                active.append({"key": one[0], "rows": one[1], "at": 0, "state": {}, "out": []})
+            if not active:
+                return
+            for d in active:
+                if d["rows"][d["at"]].get("reset"):
+                    d["state"] = {}
+            answers = predict([(d["state"], d["rows"][d["at"]]) for d in active])
+            for d, changes in zip(active, answers, strict=True):
+                d["state"] = apply(d["state"], changes)
+                d["out"].append((d["key"], int(d["rows"][d["at"]]["turn_no"]), dict(changes), dict(d["state"])))
+                d["at"] += 1
+            done = [r for d in active if d["at"] == len(d["rows"]) for r in d["out"]]
+            active = [d for d in active if d["at"] < len(d["rows"])]
+            if done:
+                yield pd.DataFrame({c: pd.Series(v, dtype=object) for c, v in zip(("key", "turn_no", "predicted", "state"), zip(*done))})
+
+    order = [key, "turn_no"] + (["slot"] if "slot" in turns.columns else [])
+    return turns.repartition(key).sortWithinPartitions(*order).mapInPandas(run, OUT)
+
+
 def rolling_stream(turns: DataFrame, predict: Predictor = carry_predictor, *, key: str = "rec_id", timeout: str | None = None) -> DataFrame:
     """The same over a stream of turns; each micro-batch continues from the key's stored state.
 
