@@ -108,3 +108,36 @@ def test_empty_tables(spark, dialogues):
     df = dialogues([(1, {"split": "train", "turns": [{"user": "only training here today"}]})])
     assert overlapping_records(df).collect() == [] and overlapping_records(df.limit(0)).collect() == []
     assert overlap_report(df.limit(0)).collect() == []
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.lists(st.integers(1, 3), min_size=1, max_size=12), min_size=1, max_size=6), st.lists(st.lists(st.integers(1, 4), min_size=1, max_size=15), min_size=1, max_size=4))
+def test_maximal_matches(rows, texts):
+    index = ShardIndex.build([str(i) for i in range(len(rows))], [" ".join(map(str, r)) for r in rows])
+    sizes = np.array([len(t) for t in texts])
+    words = np.array([index.ids.get(str(w), -1) for t in texts for w in t], dtype=np.int32)
+    stored = index.words.tolist()
+    count = lambda p: sum(stored[i : i + len(p)] == p for i in range(len(stored)))
+    first = np.cumsum(sizes) - sizes
+    want = []
+    for s in range(len(texts)):
+        own, end = words[first[s] : first[s] + sizes[s]].tolist(), int(sizes[s])
+        while end > 0:
+            begin = end
+            while begin > 0 and own[begin - 1] > 0 and count(own[begin - 1 : end]):
+                begin -= 1
+            if begin < end:
+                want.append((s, end - begin, count(own[begin:end])))
+            end = begin if begin < end else end - 1
+    text, length, lo, hi = index.maximal(words, sizes)
+    assert sorted(zip(text.tolist(), length.tolist(), (hi - lo).tolist())) == sorted(want)
+
+
+def test_matches_lead_to_edited_copies():
+    rng = np.random.default_rng(17)
+    texts = [conversation(rng, 100) for _ in range(60)]
+    index = ShardIndex.build([str(i) for i in range(60)], [" ".join(t) for t in texts])
+    asked = [t[:30] + ["new", "words"] + t[30:70] + t[75:] for t in texts] + [conversation(rng, 100) for _ in range(20)]
+    words = np.array([index.ids.get(w, -1) for t in asked for w in t], dtype=np.int32)
+    found = {(s, t): n for s, t, n in index.matched(words, np.array([len(t) for t in asked]))}
+    assert set(found) == {(i, i) for i in range(60)} and all(n >= 90 for n in found.values())

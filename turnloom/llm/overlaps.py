@@ -8,15 +8,23 @@ the suffix array, and each word's token. Training classes stream through the
 shards, and pairs with enough words in common are checked exactly: the longest
 common subsequence must hold ``SHARE`` of the longer conversation's words.
 
-Candidates come from a prefix filter on both sides, which loses no pair. Tokens
-are words with their occurrence number in the text, so two texts with ``c``
-words in common, in order or not, have ``c`` tokens in common, and all tokens of
-a shard have one order, the rarest first. A text of ``n`` words lacks at most
-``n - c`` of the common ones, so the first ``k`` common tokens are among its first
-``n - c + k``; with ``c`` at its least for either text, both prefixes hold ``k`` of
-them. Pairs with ``k`` tokens of their prefixes in common have all their common
-tokens counted, which is a bound for the subsequence. Groups of near copies need
-no care: there is no cap on the places of a token or on the partners of a record.
+Backward search: every training text is read from its end, each word narrowing the
+rows of the index that the words after it have led to, until none is left; that is a
+maximal match, and the next begins before it. So a text takes one step a word. The
+places of matches of ``LEAST`` words or more are looked up, their words are put
+together for each evaluation conversation, and conversations with ``MATCHED`` of
+the longer one's words in matches are checked.
+
+Where edits are close together there are no long matches, and in a group of near
+copies a match leads to the nearest only. So the search is completed by a prefix
+filter on both sides, which loses no pair. Tokens are words with their occurrence
+number in the text, so two texts with ``c`` words in common, in order or not, have
+``c`` tokens in common, and all tokens of a shard have one order, the rarest first.
+A text of ``n`` words lacks at most ``n - c`` of the common ones, so the first ``k``
+common tokens are among its first ``n - c + k``; with ``c`` at its least for either
+text, both prefixes hold ``k`` of them. Pairs with ``k`` tokens of their prefixes in
+common have all their common tokens counted, which is a bound for the subsequence.
+There is no cap on the places of a token or match or on the partners of a record.
 
 The indexes are files in the shared folder, read by the workers through
 pyarrow's file systems. Work: places of the training prefixes' tokens in the
@@ -30,6 +38,7 @@ no words; other columns aren't read.
 from __future__ import annotations
 
 import io
+import itertools
 import math
 import uuid
 from collections.abc import Iterator
@@ -52,6 +61,9 @@ MET = 0.15
 #: once; they bound its memory, drop nothing.
 HITS = 400_000
 CELLS = 4_000_000
+#: Words of a maximal match that is looked up; part of the longer conversation that must lie in such matches to be checked.
+LEAST = 6
+MATCHED = 0.5
 CHECKED = 2_000
 
 
@@ -147,6 +159,58 @@ class ShardIndex:
         base = symbol.astype(np.int64) * (self.n + 1)
         return np.searchsorted(self.keys, base + lo), np.searchsorted(self.keys, base + hi)
 
+    def maximal(self, words: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Text, words, and rows from lo to hi of each maximal match: all texts are searched backward side by side."""
+        first = np.cumsum(sizes) - sizes
+        text = np.flatnonzero(sizes > 0)
+        at, length = sizes[text].astype(np.int64), np.zeros(len(text), dtype=np.int64)  # words still to read; words of the running match
+        lo, hi = np.zeros(len(text), dtype=np.int64), np.full(len(text), self.n, dtype=np.int64)
+        found: list[np.ndarray] = []
+        while len(text):
+            symbol = words[first[text] + at - 1]
+            known = (symbol > 0) & (symbol < len(self.first) - 1)
+            to_lo, to_hi = self.step(np.where(known, symbol, 0), lo, hi)
+            # keys are places in all occurrence lists, so a step also gives the row in the index
+            grows = known & (to_hi > to_lo)
+            ends = ~grows & (length > 0)
+            if ends.any():
+                found.append(np.stack([text[ends], length[ends], lo[ends], hi[ends]]))
+            lo, hi = np.where(grows, to_lo, 0), np.where(grows, to_hi, self.n)
+            at = at - (grows | (length == 0))  # a word that ends a match is read again as the next one's last
+            length = np.where(grows, length + 1, 0)
+            over = at == 0
+            if over.any():
+                last = over & (length > 0)
+                found.append(np.stack([text[last], length[last], lo[last], hi[last]]))
+                text, at, length, lo, hi = text[~over], at[~over], length[~over], lo[~over], hi[~over]
+        return tuple(np.concatenate(found, axis=1)) if found else (np.zeros(0, dtype=np.int64),) * 4
+
+    def matched(self, words: np.ndarray, sizes: np.ndarray, share: float = MATCHED, least: int = LEAST) -> Iterator[tuple[int, int, int]]:
+        """(text, conversation, words of it in maximal matches) with at least ``share`` of the longer one's words in matches of ``least`` words."""
+        text, length, lo, hi = self.maximal(words, sizes)
+        kept = np.flatnonzero(length >= least)
+        kept = kept[np.argsort(text[kept], kind="stable")]
+        text, length, lo, count = text[kept], length[kept], lo[kept], (hi - lo)[kept]
+        lengths, hits = self.ends - self.starts, np.concatenate([[0], np.cumsum(count)])
+        edges = np.concatenate([[0], np.flatnonzero(np.diff(text)) + 1, [len(text)]]) if len(text) else np.zeros(1, dtype=np.int64)
+        at = 0
+        while at < len(edges) - 1:  # whole texts, a few at a time
+            to = max(at + 1, int(np.searchsorted(hits[edges], hits[edges[at]] + HITS, side="right")) - 1)
+            part = slice(edges[at], edges[to])
+            c = count[part]
+            total = int(c.sum())
+            rows = np.arange(total) + np.repeat(lo[part] - (np.cumsum(c) - c), c)
+            there = np.searchsorted(self.ends, self.order[rows])
+            match = np.repeat(np.arange(len(c)), c)
+            once = np.unique(match * len(lengths) + there)  # a conversation may hold a match several times
+            match, there = once // len(lengths), once % len(lengths)
+            pair, which = np.unique(text[part][match] * len(lengths) + there, return_inverse=True)
+            inside = np.bincount(which, weights=length[part][match], minlength=len(pair))
+            s, t = pair // len(lengths), pair % len(lengths)
+            good = inside >= share * np.maximum(sizes[s], lengths[t])
+            yield from ((int(x), int(y), int(z)) for x, y, z in zip(s[good], t[good], inside[good]))
+            at = to
+
     def prefix(self, tokens: np.ndarray, doc: np.ndarray, sizes: np.ndarray, share: float) -> np.ndarray:
         """The places of each text's prefix: its rarest tokens, in the order of their ranks in the shard."""
         order = np.lexsort((tokens, doc))
@@ -263,13 +327,15 @@ def index_shards(classes: DataFrame, shards: int, folder: str) -> None:
 
 
 def overlapping_classes(classes: DataFrame, share: float = SHARE) -> DataFrame:
-    """train_conv, eval_conv, common, longer for all pairs of classes that hold the same conversation.
+    """train_conv, eval_conv, common, longer, matched for all pairs of classes that hold the same conversation.
+
+    ``matched``: words in maximal matches where backward search led to the pair, null where only the prefix filter did.
 
     ``classes``: conv, words, n_words, n_train, n_eval; a stored table, as it is read several times.
     """
     spark = classes.sparkSession
     totals = classes.agg(F.sum(F.when(F.col("n_eval") > 0, F.col("n_words") + 1)), F.sum(F.when(F.col("n_train") > 0, F.col("n_words")))).first()
-    schema = "train_conv string, eval_conv string, common int, longer int"
+    schema = "train_conv string, eval_conv string, common int, longer int, matched int"
     if not totals[0] or not totals[1]:
         return spark.createDataFrame([], schema)
     folder = f"{shared_folder(spark).rstrip('/')}/turnloom/evaluation-index-{uuid.uuid4().hex}"
@@ -284,7 +350,7 @@ def overlapping_classes(classes: DataFrame, share: float = SHARE) -> DataFrame:
         for payload in _read_shards(folder):
             index = ShardIndex.load(payload)
             get = index.ids.get
-            found: list[tuple[str, str, int, int]] = []
+            found: list[tuple[str, str, int, int, int | None]] = []
             i = 0
             while i < len(said):
                 j, n = i, 0
@@ -295,16 +361,18 @@ def overlapping_classes(classes: DataFrame, share: float = SHARE) -> DataFrame:
                 words = np.fromiter((get(w, -1) for _, t in said[i:j] for w in t), dtype=np.int32, count=n)
                 first = np.cumsum(sizes) - sizes
                 doc = np.repeat(np.arange(j - i), sizes)
-                for s, t in index.candidates(words, doc, sizes, share):
+                by_match = {(s, t): inside for s, t, inside in index.matched(words, sizes)}
+                rest = (pair for pair in index.candidates(words, doc, sizes, share) if pair not in by_match)
+                for s, t in itertools.chain(by_match, rest):
                     mine = words[first[s] : first[s] + sizes[s]]
                     other = index.words[index.starts[t] : index.ends[t]]
                     longer = max(len(mine), len(other))
                     common = common_words(mine.tolist(), other.tolist())
                     if common >= share * longer:
-                        found.append((said[i + s][0], index.names[t], common, longer))
+                        found.append((said[i + s][0], index.names[t], common, longer, by_match.get((s, t))))
                 i = j
             if found:
-                yield pd.DataFrame(found, columns=["train_conv", "eval_conv", "common", "longer"])
+                yield pd.DataFrame(found, columns=["train_conv", "eval_conv", "common", "longer", "matched"]).astype({"matched": "Int32"})
 
     tasks = max(spark.sparkContext.defaultParallelism, math.ceil(totals[1] / TASK_WORDS))
     return classes.where("n_train > 0").select("conv", "words").repartition(tasks, "conv").mapInPandas(search, schema)
@@ -323,11 +391,11 @@ def _classes(members: DataFrame) -> DataFrame:
 
 
 def overlap_classes(records: DataFrame, *, train: str = "train", evaluation: tuple[str, ...] = ("dev", "test"), share: float = SHARE) -> DataFrame:
-    """eval_conv, train_conv, common, longer, n_eval, n_train, n_links: every pair of classes of equal conversations with the record pairs it stands for."""
+    """eval_conv, train_conv, common, longer, matched, n_eval, n_train, n_links: every pair of classes of equal conversations with the record pairs it stands for."""
     classes = _classes(stored(_members(records, train, evaluation), "conversations"))
     pairs = overlapping_classes(classes, share)
     sized = pairs.join(classes.select(F.col("conv").alias("train_conv"), "n_train"), "train_conv").join(classes.select(F.col("conv").alias("eval_conv"), "n_eval"), "eval_conv")
-    return sized.select("eval_conv", "train_conv", "common", "longer", "n_eval", "n_train", (F.col("n_eval") * F.col("n_train")).alias("n_links"))
+    return sized.select("eval_conv", "train_conv", "common", "longer", "matched", "n_eval", "n_train", (F.col("n_eval") * F.col("n_train")).alias("n_links"))
 
 
 def overlapping_records(records: DataFrame, *, train: str = "train", evaluation: tuple[str, ...] = ("dev", "test"), share: float = SHARE) -> DataFrame:
