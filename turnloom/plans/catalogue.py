@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from turnloom.functions import slots as S
 from turnloom.functions import text as X
-from turnloom.operators import coref, evaluate, graph, memory, pairs, prompts, retrieve, sampling, splits, state, turns
+from turnloom.operators import coref, corpus, evaluate, graph, memory, pairs, prompts, retrieve, sampling, splits, state, turns
 from turnloom.operators.packed import label_values
 from turnloom.plans import sql as Q
 from turnloom.plans import sql_samples as M
@@ -301,7 +301,7 @@ def domain_memory_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("rec_id", "turn_no", F.explode("latest").alias("m")).select("rec_id", "turn_no", "m.slot", F.col("m.turn_no").alias("last_turn"), "m.action", "m.value")
 
 
-@query("pair_layouts")
+@query("pair_layouts", M.PAIR_LAYOUTS)
 def pair_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     d, s = spread(dialogues(spark, sf_dir)), slots(spark, sf_dir)
     asked = prompts.action_prompts(pairs.preference_pairs(d, s), turns.contexts(d, 1), s)
@@ -348,3 +348,53 @@ def reference_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("rolling_predict", M.ROLLING)
 def rolling_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rolling.rolling_batch(turns.turn_table(dialogues(spark, sf_dir), "user", "candidates")).select("key", "turn_no", F.array_join(F.transform(F.map_entries("predicted"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";").alias("predicted"), F.size("state").alias("n_slots"))
+
+
+@query("rolling_cooperative", M.ROLLING)
+def rolling_cooperative(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with one model call for a step of many dialogues."""
+
+    def model(pending: list) -> list:
+        return [rolling.carry_predictor(state, row) for state, row in pending]
+
+    done = rolling.rolling_together(turns.turn_table(dialogues(spark, sf_dir), "user", "candidates"), model)
+    return done.select("key", "turn_no", F.array_join(F.transform(F.map_entries("predicted"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";").alias("predicted"), F.size("state").alias("n_slots"))
+
+
+# --- corpora: the dialogue table taken apart as raw logs and frames
+of_dialogues("summary_before", M.SUMMARY_BEFORE, lambda d: turns.summaries_before(turns.turn_table(d, "user"), "user").select("rec_id", "turn_no", "summary_before"))
+of_dialogues("masked_text", M.MASKED_TEXT, lambda d: turns.turn_table(d, "user").select("rec_id", "turn_no", X.mask_domains(F.col("user")).alias("masked")))
+of_dialogues("snapshot_fill", M.SNAPSHOTS, lambda d: state.filled_snapshots(turns.turn_table(d, "active_intent", "tasklabel").select("rec_id", "turn_no", F.when(F.col("tasklabel") != "notask", F.col("active_intent")).alias("snapshot"))))
+
+
+def belief(slot_values: F.Column) -> F.Column:
+    """The hotel slots of a state as a belief state by domain."""
+    part = lambda begin, keep: F.transform_keys(F.map_filter(slot_values, keep), lambda k, v: F.substring(k, begin, 2**31 - 1))
+    booked = lambda k, v: F.startswith(k, F.lit("hotel-book "))
+    return F.create_map(F.lit("hotel"), F.struct(part(12, booked).alias("book"), part(7, lambda k, v: F.startswith(k, F.lit("hotel-")) & ~booked(k, v)).alias("semi")))
+
+
+@query("belief_rows", M.BELIEF_ROWS)
+def belief_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = turns.turn_table(dialogues(spark, sf_dir), "slot_values").where("slot_values is not null")
+    return turns.belief_slots(rows.select("rec_id", "turn_no", belief(F.col("slot_values")).alias("metadata")), keys=["rec_id", "turn_no"])
+
+
+@query("frame_rows", M.FRAME_ROWS)
+def frame_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each slot with two values to choose from by the user's text."""
+    rows = turns.turn_table(dialogues(spark, sf_dir), "user", "slot_values")
+    lists = F.transform_values("slot_values", lambda k, v: F.array(F.lit("centre"), v))
+    return turns.frame_values(rows.select("rec_id", "turn_no", "user", lists.alias("slot_values")), keys=["rec_id", "turn_no"], utterance="user")
+
+
+@query("corpus_from_logs", M.FROM_LOGS)
+def corpus_from_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as logs (user texts, then system texts with the state), read back as dialogues."""
+    d = dialogues(spark, sf_dir).where(F.size("turns") > 0)
+    system, user, states = F.col("turns.system"), F.col("turns.user"), F.col("turns.state.slot_values")
+    empty = F.create_map().cast("map<string,string>")
+    item = lambda text, m: F.struct(text.alias("text"), belief(F.coalesce(m, empty)).alias("metadata"))
+    log = F.flatten(F.transform(user, lambda u, i: F.array(item(u, empty), item(F.coalesce(F.get(system, i + 1), F.lit("")), F.get(states, i)))))
+    done = corpus.from_logs(d.select(F.col("rec_id").cast("string").alias("name"), log.alias("log")))
+    return done.select("dial_id", F.posexplode("turns").alias("turn_no", "t")).select("dial_id", "turn_no", "t.system", "t.user", F.size("t.state.slot_values").alias("n_slots"))

@@ -217,7 +217,7 @@ o AS (SELECT w.rec_id, w.turn_no, count(DISTINCT p.slot) AS n FROM w JOIN (SELEC
 SELECT CAST(c.rec_id AS VARCHAR) AS key, c.turn_no, CASE WHEN told THEN c.slot || '=' || words ELSE '' END AS predicted, CAST(coalesce(o.n, 0) AS INTEGER) AS n_slots FROM c LEFT JOIN o USING (rec_id, turn_no)"""
 
 
-def _corpus(x: str) -> str:
+def _corpus(x: str, word: str = "centre", to: str = "centre") -> str:
     """The corpus form of texts without lookaround: signs between digits are set aside while the others are set off."""
     x = f"replace(replace(trim(lower({x})), 'b&b', 'bed and breakfast'), 'b and b', 'bed and breakfast')"
     x = f"regexp_replace(replace(replace(replace(regexp_replace({x}, '[‘’]', '''', 'g'), ';', ','), '/', ' and '), '-', ' '), '[\"<>@()]', '', 'g')"
@@ -227,10 +227,24 @@ def _corpus(x: str) -> str:
         x = f"replace(replace({x}, '{sign}', ' {sign} '), chr({at + 1}), '{sign}')"
     x = f"regexp_replace(regexp_replace({x}, '''s( |$)', ' ''s\\1', 'g'), '''s([^ ])', ' '' s\\1', 'g')"
     x = f"regexp_replace(regexp_replace(regexp_replace(regexp_replace({x}, '^''', ''), '''$', ''), '''\\s', ' ', 'g'), '\\s''', ' ', 'g')"
-    x = f"trim(regexp_replace(replace(' ' || {x} || ' ', ' centre ', ' center '), '\\s+', ' ', 'g'))"
+    x = f"trim(regexp_replace(replace(' ' || {x} || ' ', ' {word} ', ' {to} '), '\\s+', ' ', 'g'))"
     for _ in range(4):
         x = f"regexp_replace({x}, '(^| )([0-9]+) ([0-9]+)( |$)', '\\1\\2\\3\\4', 'g')"
     return x
 
 
-CORPUS_TEXT = f"WITH {TURNS} SELECT rec_id, turn_no, {_corpus('u.user')} AS text FROM t"
+CORPUS_TEXT = f"WITH {TURNS} SELECT rec_id, turn_no, {_corpus('u.user', to='center')} AS text FROM t"
+SUMMARY_BEFORE = f"WITH {TURNS} SELECT rec_id, turn_no, {or_default('lag(u.user) OVER (PARTITION BY rec_id ORDER BY turn_no)', 'None')} AS summary_before FROM t"
+MASKED_TEXT = f"WITH {TURNS} SELECT rec_id, turn_no, regexp_replace(regexp_replace(u.user, '\\b(hotel|restaurant|attraction|train|taxi)-', '[domain]-', 'g'), '\\b(hotel|restaurant|attraction|train|taxi)\\b', '[domain]', 'gi') AS masked FROM t"
+SNAPSHOTS = f"WITH {TURNS} SELECT rec_id, turn_no, last_value(CASE WHEN u.tasklabel <> 'notask' THEN u.state.active_intent END IGNORE NULLS) OVER (PARTITION BY rec_id ORDER BY turn_no) AS snapshot FROM t"
+BELIEF_ROWS = f"WITH {TURNS}, s AS (SELECT rec_id, turn_no, x.key AS slot, x.value AS value FROM (SELECT rec_id, turn_no, unnest(map_entries(u.state.slot_values)) AS x FROM t)) SELECT rec_id, turn_no, slot, value FROM s WHERE slot LIKE 'hotel-%' AND lower(trim(value)) NOT IN ('', 'not mentioned', 'none')"
+FRAME_ROWS = f"WITH {TURNS}, s AS (SELECT rec_id, turn_no, coalesce(lower(u.user), '') AS said, x.key AS slot, x.value AS value FROM (SELECT rec_id, turn_no, u, unnest(map_entries(u.state.slot_values)) AS x FROM t)) SELECT rec_id, turn_no, replace(slot, '_', ' ') AS slot, CASE WHEN NOT contains(said, 'centre') AND value IS NOT NULL AND contains(said, lower(value)) THEN value ELSE 'centre' END AS value FROM s"
+FROM_LOGS = f"""WITH {TURNS}, bad AS (SELECT DISTINCT rec_id FROM (SELECT rec_id, coalesce(u.user, '') AS x FROM t UNION ALL SELECT rec_id, coalesce(u.system, '') FROM t WHERE turn_no > 0) WHERE NOT (regexp_full_match(x, '[\\x00-\\x7F]*', 's') AND len(string_split(x, ' ')) <= 50))
+SELECT CAST(rec_id AS VARCHAR) AS dial_id, turn_no, CASE WHEN turn_no = 0 THEN 'none' ELSE {_corpus("coalesce(u.system, '')")} END AS system, {_corpus("u.user")} AS user,
+  CAST(len(list_filter(coalesce(map_entries(u.state.slot_values), []), lambda e: starts_with(e.key, 'hotel-') AND coalesce(e.value, '') <> '' AND (starts_with(e.key, 'hotel-book ') OR e.value <> 'not mentioned'))) AS INTEGER) AS n_slots FROM t WHERE rec_id NOT IN (SELECT rec_id FROM bad)"""
+_HIDDEN = "CASE WHEN masked THEN regexp_replace(regexp_replace({x}, '\\b(hotel|restaurant|attraction|train|taxi)-', '[domain]-', 'g'), '\\b(hotel|restaurant|attraction|train|taxi)\\b', '[domain]', 'gi') ELSE {x} END"
+_TWO = "array_to_string(list_transform(range(greatest(t.turn_no - 1, 0), t.turn_no + 1), lambda j: '[t' || j || '][SYS] ' || coalesce(t.turns[j + 1].system, '') || chr(10) || '[t' || j || '][USR] ' || coalesce(t.turns[j + 1].user, '')), chr(10))"
+PAIR_LAYOUTS = f"""WITH {EVENTS}, {_RAW_PAIRS}, x AS (SELECT one.*, {_TWO} AS context, CASE WHEN NOT masked THEN one.slot WHEN {kind("one.slot")} = '' THEN '[domain]' ELSE '[domain]-' || {kind("one.slot")} END AS target_slot, sd.slot IS NOT NULL AS described, coalesce(sd.type_desc, '') AS td, coalesce(sd.contras_desc, '') AS cd
+  FROM one JOIN t ON one.rec_id = t.rec_id AND one.turn_no = t.turn_no LEFT JOIN slot_descriptions sd ON one.slot = sd.slot WHERE k = 1),
+p AS (SELECT *, '[Dialogue]' || chr(10) || context || chr(10) || chr(10) || '[Slot]' || chr(10) || target_slot || chr(10) || chr(10) || '[Meaning]' || chr(10) || {_HIDDEN.format(x="td")} || chr(10) || {_HIDDEN.format(x="cd")} || chr(10) || chr(10) || 'Which action does the turn take on the slot?' AS prompt FROM x)
+SELECT CAST(to_json([{{'role': 'system', 'content': 'You label what a dialogue turn does to a slot.'}}, {{'role': 'user', 'content': prompt}}]) AS VARCHAR) AS messages, CAST(to_json({{'role': 'assistant', 'content': chosen}}) AS VARCHAR) AS chosen, CAST(to_json({{'role': 'assistant', 'content': rejected}}) AS VARCHAR) AS rejected FROM p"""

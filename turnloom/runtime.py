@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -38,6 +40,7 @@ def shared_folder(spark: SparkSession) -> str:
             if not sc.master.startswith("local"):
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             found = os.environ["TURNLOOM_LOCAL_SHARED"] = tempfile.mkdtemp(prefix="turnloom-")
+            atexit.register(shutil.rmtree, found, ignore_errors=True)
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(found)
     return found
