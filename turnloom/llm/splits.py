@@ -207,7 +207,8 @@ def split_components(sizes: DataFrame, n_labels: int, shares: dict[str, float] |
                 return pd.DataFrame({"component": pdf["component"], "split": [names[s] for s in anneal(weights, targets, first, seed)], "weights": pdf["weights"]})
 
             salted = others.withColumn("_block", F.pmod(F.xxhash64("component", F.lit(attempt)), F.lit(blocks)).cast("int")).withColumn("_unit", _unit("component"))
-            done = stored(salted.groupBy("_block").applyInPandas(run, "component string, split string, weights array<bigint>"), "assigned")
+            tasks = min(blocks, 4 * spark.sparkContext.defaultParallelism)  # a few small rows are much work, so they aren't put into one task
+            done = stored(salted.repartition(tasks, "_block").groupBy("_block").applyInPandas(run, "component string, split string, weights array<bigint>"), "assigned")
             got = np.zeros_like(left)
             for r in done.groupBy("split").agg(*sums).collect():  # one row per split
                 got[names.index(r["split"])] = [float(r[f"s{k}"]) for k in range(width)]
