@@ -6,16 +6,16 @@ constraints ask that all items are placed, the number of containers is least.
 
 :func:`cover` solves it by multiplicative weights. A length's price falls with
 the part of its items covered so far. In every round a knapsack dynamic program
-prices all configurations at once: the worth of the best one bounds the program
-from below (:func:`prices` divided by it are a dual solution), and tracing it
-back gives configurations within ``SLACK`` of the best, the least covered
-lengths first. Rounds go on until cover and dual bound are within ``NEAR``.
+prices all configurations at once: prices divided by the worth of the best one
+are a dual solution, which bounds the program from below, and tracing it back
+gives configurations within ``SLACK`` of the best, the least covered lengths
+first. Rounds go on until cover and dual bound are within ``NEAR``.
 
 :func:`rounded` makes the fractional cover whole: configurations get the whole
 numbers their running sum passes, a length that has run out is replaced by the
 next shorter one left, and room that stays is filled by a bounded knapsack over
 what is left. Items no configuration reached are filled the same way; the plan
-tells how many containers those are.
+tells how many containers those are. Of two orders of rounding the better is kept.
 
 Only the histogram reaches the driver, at most ``capacity`` rows whatever the
 corpus; rounds and configurations depend on it alone. The items learn their

@@ -9,7 +9,7 @@ come from a bounded per-worker cache, which changes speed, never results.
 
 Defined results: null and empty texts both give the empty list; strings that
 look like special tokens are ordinary text; lone surrogates can't occur in Spark
-strings. Texts are never cut, and batches are split by bytes, not rows alone.
+strings. Texts are never cut.
 """
 
 from __future__ import annotations
