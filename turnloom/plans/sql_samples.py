@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from turnloom.plans.sql import _MEMORY, _TL, _TOKENED, EVENTS, TURNS, tokens
+from turnloom.plans.sql import _MEMORY, _TL, _TOKENED, EVENTS, TURNS
 
 _KEPT = "list_filter({l}, lambda x, i: list_position({l}, x) = i)"  # distinct, in order
 
