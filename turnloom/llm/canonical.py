@@ -336,7 +336,8 @@ def dissimilar_entries(values: DataFrame, reference: list[tuple[str, str, str, l
             if rows:
                 yield pd.DataFrame(rows, columns=["slot", "form", "entry", "entry_form", "generic", "similarity"])
 
-    found = values.select("slot", "form").distinct().mapInPandas(look_up, "slot string, form string, entry string, entry_form string, generic string, similarity double")
+    tasks = values.sparkSession.sparkContext.defaultParallelism  # small rows, much work: not to be put into one task
+    found = values.select("slot", "form").distinct().repartition(tasks).mapInPandas(look_up, "slot string, form string, entry string, entry_form string, generic string, similarity double")
     return found.join(values.select("slot", "value", "form"), ["slot", "form"])
 
 
@@ -354,7 +355,7 @@ def canonical_values(values: DataFrame, lists: dict[str, list[str]], threshold:
     read = values.select("slot", "value", F.explode(_forms("value")).alias("f")).select("slot", "value", "f.form", "f.tokens")
     read = stored(read, "value-forms")
     near = similar_entries(read, reference, threshold).unionByName(dissimilar_entries(read, rows, threshold))
-    meant = near.withColumn("distance", _distance("form", "entry_form", "generic")).where(F.col("distance").isNotNull() & ~F.isnan("distance"))
+    meant = near.repartition(spark.sparkContext.defaultParallelism).withColumn("distance", _distance("form", "entry_form", "generic")).where(F.col("distance").isNotNull() & ~F.isnan("distance"))
     best = meant.groupBy("slot", "value").agg(F.min_by("entry", F.struct("distance", -F.col("similarity"), "entry")).alias("canonical"))
     return values.join(best, ["slot", "value"], "left").withColumn("canonical", F.coalesce("canonical", F.lit(UNMATCHED)))
 
