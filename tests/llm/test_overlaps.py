@@ -1,9 +1,11 @@
+from collections import Counter
+
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tests.llm.conftest import CLASHING
-from turnloom.llm.overlaps import ShardIndex, common_words, overlap_report, overlapping_records, suffix_array
+from turnloom.llm.overlaps import Block, Filter, ShardIndex, common_words, overlap_classes, overlap_report, overlapping_records, suffix_array, token_hashes
 
 WORDS = [f"w{i}" for i in range(400)]
 
@@ -141,3 +143,35 @@ def test_matches_lead_to_edited_copies():
     words = np.array([index.ids.get(w, -1) for t in asked for w in t], dtype=np.int32)
     found = {(s, t): n for s, t, n in index.matched(words, np.array([len(t) for t in asked]))}
     assert set(found) == {(i, i) for i in range(60)} and all(n >= 90 for n in found.values())
+
+
+def phrased(rng, n):
+    """Conversations of n words put together from few phrases, so that all their words are frequent."""
+    phrases = [[f"p{w}" for w in np.random.default_rng(i).integers(0, 700, 7)] for i in range(300)]
+    return [w for i in rng.integers(0, 300, n // 7 + 1) for w in phrases[i]][:n]
+
+
+def test_filter_loses_no_pair_and_leaves_few():
+    """All words are frequent, so any two texts share many of their rarest tokens; few pairs beside the true ones may be left for the check."""
+    rng = np.random.default_rng(23)
+    said = [phrased(rng, int(n)) for n in np.sort(rng.integers(60, 300, 500))]
+    edited = [[w if rng.random() > 0.3 * rng.random() else f"p{rng.integers(0, 700)}" for w in t] for t in said[::5]]
+    edited += [t[: len(t) - len(t) // 5] for t in said[::7]]
+    for longer in (0, 900):  # longer ones have vectors of more places
+        mine, there = (sorted((t + [f"q{i % 500}" for i in range(longer)] for t in x), key=len) for x in (edited, said))
+        blocks = [Block(*token_hashes(x)) for x in (mine, there)]
+        got = {(int(s), int(t)) for x in Filter.fit([" ".join(t) for t in there]).pairs(*blocks) for s, t in zip(*x)}
+        held = [[Counter(t) for t in x] for x in (mine, there)]
+        want = {(i, j) for i, a in enumerate(held[0]) for j, b in enumerate(held[1]) if (a & b).total() >= 0.75 * max(a.total(), b.total())}
+        assert want <= got and len(want) > 150
+        assert len(got) <= 1.5 * len(want) + 20
+
+
+def test_matches_of_classes(spark, dialogues):
+    rng = np.random.default_rng(29)
+    said = [conversation(rng, 90) for _ in range(20)]
+    rows = [(i, {"split": "test", "source": "a", "turns": as_turns(t)}) for i, t in enumerate(said)]
+    rows += [(100 + i, {"split": "train", "source": "a", "turns": as_turns(t[:40] + t[45:])}) for i, t in enumerate(said)]
+    rows += [(200, {"split": "train", "source": "a", "turns": as_turns([w for i, w in enumerate(said[0]) if i % 6])})]
+    got = sorted((r["longer"], r["common"], r["matched"], r["n_links"]) for r in overlap_classes(dialogues(rows)).collect())
+    assert len(got) == 21 and got[0] == (90, 75, None, 1) and all(g[:2] == (90, 85) and g[2] >= 80 for g in got[1:])

@@ -1,34 +1,34 @@
 """Records of evaluation splits that also occur, exactly or almost, in the training split.
 
 Conversations are taken as word sequences (case, punctuation and white space
-aside); equal ones are one class, so copies cost nothing. The evaluation classes
-are cut into shards of bounded size, and of each shard a full-text index is
-stored: the Burrows-Wheeler transform of its words as sorted occurrence lists,
-the suffix array, and each word's token. Training classes stream through the
-shards, and pairs with enough words in common are checked exactly: the longest
-common subsequence must hold ``SHARE`` of the longer conversation's words.
-
-Backward search: every training text is read from its end, each word narrowing the
-rows of the index that the words after it have led to, until none is left; that is a
-maximal match, and the next begins before it. So a text takes one step a word. The
-places of matches of ``LEAST`` words or more are looked up, their words are put
-together for each evaluation conversation, and conversations with ``MATCHED`` of
-the longer one's words in matches are checked.
-
-Where edits are close together there are no long matches, and in a group of near
-copies a match leads to the nearest only. So the search is completed by a prefix
-filter on both sides, which loses no pair. Tokens are words with their occurrence
-number in the text, so two texts with ``c`` words in common, in order or not, have
-``c`` tokens in common, and all tokens of a shard have one order, the rarest first.
-A text of ``n`` words lacks at most ``n - c`` of the common ones, so the first ``k``
-common tokens are among its first ``n - c + k``; with ``c`` at its least for either
-text, both prefixes hold ``k`` of them. Pairs with ``k`` tokens of their prefixes in
-common have all their common tokens counted, which is a bound for the subsequence.
-There is no cap on the places of a token or match or on the partners of a record.
-
-The indexes are files in the shared folder, read by the workers through
-pyarrow's file systems. Work: places of the training prefixes' tokens in the
-prefixes of conversations of like length; a shard holds ``SHARD_WORDS`` words.
+aside); equal ones are one class, so copies cost nothing. Pairs with enough words in
+common, in any order, are checked exactly: the longest common subsequence must hold
+``SHARE`` of the longer conversation's words.
+
+Vector filter: tokens are words with their occurrence number in the text, so two texts
+with ``c`` words in common have ``c`` tokens in common. Tokens are hashed to the places
+of a vector that holds the root of each place's count; the product of two texts' vectors
+is never below their common tokens, and a text's vector has its number of words as its
+squared length. Of the vectors only the part along an orthonormal basis is kept, and the
+length of what is left out, whose product bounds what it adds. So one matrix product of
+a block of training texts with a block of evaluation texts of like length rules out most
+pairs, a second look along more of the basis most of the rest, and the smaller count of
+each place all but a few. None of these bounds can rule out a pair that holds; rounding
+is allowed for. The basis is fitted on some texts, but any basis is right. There is no
+cap on the places of a token or on the partners of a record.
+
+Backward search: of the evaluation classes, in shards of bounded size, a full-text
+index is stored: the Burrows-Wheeler transform of their words as sorted occurrence
+lists, and the suffix array. Where a pair's matches are asked for, its training text is read from its end in the
+shard that holds its partner, each word narrowing the rows of the index that the words after
+it have led to, until none is left; that is a maximal match, and the next begins before
+it. So a text takes one step a word. The places of matches of ``LEAST`` words or more are
+looked up, and their words are put together for each evaluation conversation: with
+``MATCHED`` of the longer one's words in matches, the pair is one that the search leads to.
+
+Blocks and indexes are files in the shared folder, read by the workers through
+pyarrow's file systems. Work: training conversations times evaluation conversations of
+like length, a few nanoseconds each.
 
 Defined results: records with null or empty turns, without words or without a
 split are in no pair; null utterances and the markers for "no system turn" have
@@ -41,30 +41,47 @@ import io
 import itertools
 import math
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnloom.runtime import shared_folder, stored
+from turnloom.runtime import shared_folder, small, stored
 
 SHARE = 0.75
 SHARD_WORDS = 3_000_000
-TASK_WORDS = 500_000
+TASK_WORDS = 2_000_000
 BATCH_WORDS = 60_000
-#: Common tokens of two prefixes that make a pair a candidate, as a part of the shorter one's words. More make prefixes
-#: longer and candidates fewer; none is lost whatever the number.
-MET = 0.15
-#: Places of tokens followed at once in a worker (those of one text at least), and texts times conversations counted at
-#: once; they bound its memory, drop nothing.
+#: Texts of a block at most, and words of it; texts of a product's two sides; pairs looked at again together. They bound
+#: memory, drop nothing.
+BLOCK = 2_048
+BLOCK_WORDS = 800_000
+TILE = 512
+TILE_THERE = 2_048
+LOOKED_AT = 1_024
+#: Places of a vector, for texts of up to WIDTH / WORDS_OF_WIDTH words; longer ones have vectors of more places, up to
+#: 2 ** HASH_BITS. Directions of the basis, and of the first look; part of
+#: the pairs left by the first look above which the whole basis is used at once. Texts it is fitted on, about. None changes results.
+WIDTH = 1_024
+WORDS_OF_WIDTH = 2.5
+HASH_BITS = 16
+DIMS = 256
+FIRST_DIMS = 128
+CLOSELY = 0.012
+FITTED = 3_000
+#: More than what 32-bit sums can lose of a squared length, and of a number of words.
+ROUNDING = 0.002
+MARGIN = 0.02
+#: Places of matches followed at once in a worker (those of one text at least); bounds its memory, drops nothing.
 HITS = 400_000
-CELLS = 4_000_000
 #: Words of a maximal match that is looked up; part of the longer conversation that must lie in such matches to be checked.
 LEAST = 6
 MATCHED = 0.5
-CHECKED = 2_000
 
 
 def conversation_words(turns: Column) -> Column:
@@ -94,7 +111,7 @@ def suffix_array(words: np.ndarray, longest: int) -> np.ndarray:
 
 def occurrence(words: np.ndarray, doc: np.ndarray) -> np.ndarray:
     """For each word how often its text had it before."""
-    order = np.lexsort((words, doc))
+    order = np.argsort(doc * (int(words.max(initial=0)) + 1) + words, kind="stable")
     new = np.ones(len(words), dtype=bool)
     new[1:] = (words[order][1:] != words[order][:-1]) | (doc[order][1:] != doc[order][:-1])
     firsts = np.flatnonzero(new)
@@ -103,15 +120,10 @@ def occurrence(words: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return out
 
 
-def wanted(sizes: np.ndarray, share: float) -> np.ndarray:
-    """How many common tokens a text's prefix is long enough for; any number from 1 to the common words needed keeps the filter exact."""
-    return np.maximum(1, np.minimum(np.ceil(sizes * MET), np.ceil(sizes * share))).astype(np.int64)
-
-
 class ShardIndex:
-    """Full-text index over some conversations; word 0 separates them. A word's token tells its occurrences in a text apart."""
+    """Full-text index over some conversations; word 0 separates them."""
 
-    def __init__(self, names: list[str], vocabulary: list[str], words: np.ndarray, order: np.ndarray, occurrences: np.ndarray, first: np.ndarray, tokens: np.ndarray, token_keys: np.ndarray, token_ranks: np.ndarray):
+    def __init__(self, names: list[str], vocabulary: list[str], words: np.ndarray, order: np.ndarray, occurrences: np.ndarray, first: np.ndarray):
         self.names, self.words, self.order = names, words, order
         self.ids = {w: i + 1 for i, w in enumerate(vocabulary)}
         self.first, self.n = first, len(words)
@@ -120,8 +132,6 @@ class ShardIndex:
         ends = np.flatnonzero(words == 0)
         self.starts = np.concatenate([[0], ends[:-1] + 1]) if len(ends) else np.zeros(0, dtype=np.int64)
         self.ends = ends
-        self.tokens, self.token_keys, self.token_ranks = tokens, token_keys, token_ranks
-        self.prefixes: dict[float, tuple[np.ndarray, np.ndarray]] = {}
 
     @classmethod
     def build(cls, names: list[str], texts: list[str]) -> ShardIndex:
@@ -132,27 +142,20 @@ class ShardIndex:
         before = words[order - 1]  # the transform; the row of suffix 0 wraps round to a separator
         occurrences = np.argsort(before, kind="stable").astype(np.int32)
         first = np.concatenate([[0], np.cumsum(np.bincount(words, minlength=len(ids) + 1))]).astype(np.int64)
-        doc = np.cumsum(words == 0) - (words == 0)
-        own = words != 0
-        token_keys, which, n = np.unique(words[own].astype(np.int64) << 32 | occurrence(words[own], doc[own]), return_inverse=True, return_counts=True)
-        token_ranks = np.empty(len(token_keys), dtype=np.int32)
-        token_ranks[np.argsort(n, kind="stable")] = np.arange(len(token_keys), dtype=np.int32)
-        tokens = np.full(len(words), -1, dtype=np.int32)
-        tokens[own] = token_ranks[which]
-        return cls(names, list(ids), words, order, occurrences, first, tokens, token_keys, token_ranks)
+        return cls(names, list(ids), words, order, occurrences, first)
 
     def dump(self) -> bytes:
         out = io.BytesIO()
         occurrences = (self.keys - np.repeat(np.arange(len(self.first) - 1, dtype=np.int64), np.diff(self.first)) * (self.n + 1)).astype(np.int32)
         text = lambda x: np.frombuffer("\n".join(x).encode(), dtype=np.uint8)
-        np.savez_compressed(out, names=text(self.names), vocabulary=text(self.ids), words=self.words, order=self.order, occurrences=occurrences, first=self.first, tokens=self.tokens, token_keys=self.token_keys, token_ranks=self.token_ranks)
+        np.savez_compressed(out, names=text(self.names), vocabulary=text(self.ids), words=self.words, order=self.order, occurrences=occurrences, first=self.first)
         return out.getvalue()
 
     @classmethod
     def load(cls, payload: bytes) -> ShardIndex:
         with np.load(io.BytesIO(payload)) as z:
             lines = lambda x: bytes(x).decode().split("\n")
-            return cls(lines(z["names"]), lines(z["vocabulary"]), z["words"], z["order"], z["occurrences"], z["first"], z["tokens"], z["token_keys"], z["token_ranks"])
+            return cls(lines(z["names"]), lines(z["vocabulary"]), z["words"], z["order"], z["occurrences"], z["first"])
 
     def step(self, symbol: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """One backward step: the rows whose suffix begins with ``symbol`` and goes on as the rows from lo to hi do."""
@@ -211,80 +214,108 @@ class ShardIndex:
             yield from ((int(x), int(y), int(z)) for x, y, z in zip(s[good], t[good], inside[good]))
             at = to
 
-    def prefix(self, tokens: np.ndarray, doc: np.ndarray, sizes: np.ndarray, share: float) -> np.ndarray:
-        """The places of each text's prefix: its rarest tokens, in the order of their ranks in the shard."""
-        order = np.lexsort((tokens, doc))
-        place = np.arange(len(tokens)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        return order[place < (sizes - np.ceil(sizes * share).astype(np.int64) + wanted(sizes, share))[doc[order]]]
-
-    def looked_up(self, share: float) -> tuple[np.ndarray, np.ndarray]:
-        """(rank, conversation by length) of the tokens in the prefixes of the shard's own texts, as sorted keys, and the conversations by length."""
-        if share not in self.prefixes:
-            own = np.flatnonzero(self.words != 0)
-            sizes = self.ends - self.starts
-            doc = np.repeat(np.arange(len(sizes)), sizes)
-            by_length = np.argsort(sizes, kind="stable")
-            at = np.empty(len(sizes), dtype=np.int64)
-            at[by_length] = np.arange(len(sizes))
-            kept = self.prefix(self.tokens[own], doc, sizes, share)
-            self.prefixes[share] = np.sort(self.tokens[own[kept]].astype(np.int64) * len(sizes) + at[doc[kept]]), by_length
-        return self.prefixes[share]
-
-    def ranked(self, words: np.ndarray, doc: np.ndarray) -> np.ndarray:
-        """The rank in the shard of each word's token, -1 if the shard doesn't have it."""
-        if not len(self.token_keys):
-            return np.full(len(words), -1, dtype=np.int64)
-        key = np.where(words >= 0, words.astype(np.int64) << 32 | occurrence(words, doc), -1)
-        at = np.minimum(np.searchsorted(self.token_keys, key), len(self.token_keys) - 1)
-        return np.where(self.token_keys[at] == key, self.token_ranks[at], -1).astype(np.int64)
-
-    def candidates(self, words: np.ndarray, doc: np.ndarray, sizes: np.ndarray, share: float = SHARE) -> Iterator[tuple[int, int]]:
-        """All pairs (text of the batch, conversation of the shard) with at least ``share`` of the longer one's words in common, in any order."""
-        keys, by_length = self.looked_up(share)
-        lengths = (self.ends - self.starts)[by_length]
-        n = len(lengths)
-        tokens = self.ranked(words, doc)
-        kept = self.prefix(tokens, doc, sizes, share)
-        kept = kept[tokens[kept] >= 0]
-        source = doc[kept]
-        shortest = np.searchsorted(lengths, share * sizes)  # a window of conversations that are neither too short nor too long
-        longest = np.searchsorted(share * lengths, sizes, side="right")
-        lo = np.searchsorted(keys, tokens[kept] * n + shortest[source])
-        count = np.maximum(0, np.searchsorted(keys, tokens[kept] * n + longest[source]) - lo)
-        edges = np.searchsorted(source, np.arange(len(sizes) + 1))  # the prefix of each text, a few texts at a time
-        hits = np.concatenate([[0], np.cumsum(count)])[edges]
-        first = np.cumsum(sizes) - sizes
-        least, least_there = wanted(sizes, share), wanted(lengths, share)
-        held = np.zeros(len(self.token_keys), dtype=bool)
-        at = 0
-        while at < len(sizes):
-            to = max(at + 1, min(int(np.searchsorted(hits, hits[at] + HITS, side="right")) - 1, at + max(1, CELLS // n)))
-            part = slice(edges[at], edges[to])
-            c, total = count[part], int(hits[to] - hits[at])
-            if total:
-                rows = np.arange(total) + np.repeat(lo[part] - (np.cumsum(c) - c), c)
-                met = keys[rows] - np.repeat(tokens[kept[part]] * n - (source[part] - at) * n, c)
-                together = np.bincount(met, minlength=(to - at) * n).reshape(to - at, n)
-                mine, there = np.nonzero(together >= np.minimum(least[at:to, None], least_there[None, :]))
-                bounds = np.searchsorted(mine, np.arange(to - at + 1))
-                for s in range(at, to):
-                    pairs = by_length[there[bounds[s - at] : bounds[s - at + 1]]]
-                    own = tokens[first[s] : first[s] + sizes[s]]
-                    own = own[own >= 0]
-                    held[own] = True
-                    for some in np.array_split(pairs, math.ceil(len(pairs) / CHECKED)) if len(pairs) else ():
-                        size = self.ends[some] - self.starts[some]
-                        begin = np.cumsum(size) - size
-                        places = np.arange(size.sum()) + np.repeat(self.starts[some] - begin, size)
-                        common = np.add.reduceat(held[self.tokens[places]].astype(np.int64), begin)
-                        yield from ((s, int(t)) for t in some[common >= share * np.maximum(size, sizes[s])])
-                    held[own] = False
-            at = to
 
+class Filter:
+    """Bound of the words that two texts have in common, in any order, from vectors; ``basis`` (WIDTH x DIMS, orthonormal) makes it sharp, never wrong."""
 
-def common_words(a: list[int], b: list[int]) -> int:
+    def __init__(self, basis: np.ndarray):
+        self.basis = basis.astype(np.float32)
+
+    @classmethod
+    def fit(cls, texts: list[str]) -> Filter:
+        """The basis that leaves least of these texts' vectors out."""
+        moments = np.zeros((WIDTH, WIDTH))
+        for i in range(0, len(texts), 1000):
+            hashes, sizes = token_hashes([t.split(" ") for t in texts[i : i + 1000]])
+            vectors = np.sqrt(counts(hashes, sizes, WIDTH)).astype(np.float64)
+            moments += vectors.T @ vectors
+        return cls(np.linalg.eigh(moments)[1][:, ::-1][:, :DIMS])
+
+    def vectors(self, held: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Vectors of texts with these ``counts``: short ones for a first look, and whole ones (the same beside another width than the basis's)."""
+        roots = np.sqrt(held, dtype=np.float32)
+        if held.shape[1] != len(self.basis):
+            return roots, roots
+        along = roots @ self.basis
+        first, whole = (np.sqrt(np.maximum(0, sizes - np.square(x).sum(axis=1)) + ROUNDING) for x in (along[:, :FIRST_DIMS], along))
+        return np.column_stack([along[:, :FIRST_DIMS], first]).astype(np.float32), np.column_stack([along, whole]).astype(np.float32)
+
+    def pairs(self, mine: Block, other: Block, share: float = SHARE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Places of all texts of both blocks (those of a block by length) with at least ``share`` of the longer one's words in common, and few others."""
+        width = max(mine.width, other.width)
+        for at in range(0, len(mine.sizes), TILE):
+            sizes = mine.sizes[at : at + TILE]
+            first, whole, held = (x[at : at + TILE] for x in mine.seen(width, self))
+            begin = int(np.searchsorted(other.sizes, share * sizes[0] - MARGIN))
+            end = int(np.searchsorted(share * other.sizes - MARGIN, sizes[-1], side="right"))
+            for there in range(begin, end, TILE_THERE):
+                to = min(end, there + TILE_THERE)
+                lengths = other.sizes[there:to]
+                first_there, whole_there, held_there = (x[there:to] for x in other.seen(width, self))
+                bound = whole @ whole_there.T if mine.closely else first @ first_there.T
+                s, t = np.divmod(np.flatnonzero(bound >= (share * np.maximum(sizes[0], lengths) - MARGIN).astype(np.float32)), to - there)
+                least = share * np.maximum(sizes[s], lengths[t]) - MARGIN
+                good = (bound[s, t] >= least) & (np.minimum(sizes[s], lengths[t]) >= least)
+                s, t, least = s[good], t[good], least[good]
+                looked_twice = mine.closely
+                mine.closely |= len(s) > bound.size * CLOSELY  # the next products along the whole basis
+                for some in range(0, len(s), LOOKED_AT):
+                    x, y, enough = s[some : some + LOOKED_AT], t[some : some + LOOKED_AT], least[some : some + LOOKED_AT]
+                    if not looked_twice:
+                        good = np.einsum("ij,ij->i", whole[x], whole_there[y]) >= enough
+                        x, y, enough = x[good], y[good], enough[good]
+                    good = np.minimum(held[x], held_there[y]).sum(axis=1, dtype=np.uint16 if sizes[-1] < 1 << 16 else np.int64) >= enough
+                    if good.any():
+                        yield x[good] + at, y[good] + there
+
+
+class Block:
+    """Some texts, by length: their sizes and the hashes of their tokens; vectors are made when asked for."""
+
+    def __init__(self, hashes: np.ndarray, sizes: np.ndarray):
+        self.hashes, self.sizes = hashes, sizes
+        self.width = max(WIDTH, min(1 << HASH_BITS, 1 << math.ceil(math.log2(WORDS_OF_WIDTH * int(sizes[-1])))))
+        self.made: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        self.closely = False
+
+    def seen(self, width: int, by: Filter) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Vectors for the first and the whole look and the counts."""
+        if width not in self.made:
+            held = counts(self.hashes, self.sizes, width)
+            self.made = {width: (*by.vectors(held, self.sizes), held)}  # blocks come by length, so another width isn't asked for again
+        return self.made[width]
+
+
+def token_hashes(texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all tokens, text by text, and the texts' sizes."""
+    sizes = np.array([len(t) for t in texts], dtype=np.int64)
+    ids: dict[str, int] = {}
+    words = np.fromiter((ids.setdefault(w, len(ids)) for t in texts for w in t), dtype=np.int64, count=int(sizes.sum()))
+    own = np.fromiter((zlib.crc32(w.encode()) for w in ids), dtype=np.uint64, count=len(ids))
+    mixed = (own[words] * np.uint64(0x9E3779B97F4A7C15)) + occurrence(words, np.repeat(np.arange(len(sizes)), sizes)).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+    mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
+    return (mixed >> np.uint64(64 - HASH_BITS)).astype(np.uint16), sizes
+
+
+def counts(hashes: np.ndarray, sizes: np.ndarray, width: int) -> np.ndarray:
+    """How many tokens of each text fall in each of ``width`` places (a power of two)."""
+    place = hashes.astype(np.int64) >> (HASH_BITS - width.bit_length() + 1)
+    held = np.bincount(np.repeat(np.arange(len(sizes)) * width, sizes) + place, minlength=len(sizes) * width)
+    return held.astype(np.min_scalar_type(int(held.max(initial=0)))).reshape(len(sizes), width)
+
+
+def cut(sizes: np.ndarray, most: int, words: int) -> list[int]:
+    """Edges of blocks of texts by length: ``most`` texts at most, and ``words`` if all were as long as the longest (one text at least)."""
+    edges = [0]
+    for i, n in enumerate(sizes):
+        if i > edges[-1] and (i - edges[-1] >= most or (i - edges[-1] + 1) * n > words):
+            edges.append(i)
+    return [*edges, len(sizes)] if len(sizes) else edges
+
+
+def common_words(a: list, b: list) -> int:
     """Length of the longest common subsequence, bit-parallel over ``a``."""
-    masks: dict[int, int] = {}
+    masks: dict = {}
     for i, w in enumerate(a):
         masks[w] = masks.get(w, 0) | 1 << i
     full = (1 << len(a)) - 1
@@ -297,11 +328,8 @@ def common_words(a: list[int], b: list[int]) -> int:
     return len(a) - v.bit_count()
 
 
-def _read_shards(path: str) -> Iterator[bytes]:
-    """The indexes in the folder of index files, one at a time."""
-    import pyarrow.fs as pafs
-    import pyarrow.parquet as pq
-
+def _files(path: str) -> Iterator[pq.ParquetFile]:
+    """The Parquet files in a folder, one at a time."""
     if "://" in path or path.startswith("file:"):
         uri = path.replace("s3a://", "s3://")
         system, root = pafs.FileSystem.from_uri(uri if "://" in uri else "file://" + uri[5:])
@@ -310,10 +338,11 @@ def _read_shards(path: str) -> Iterator[bytes]:
     for info in sorted(system.get_file_info(pafs.FileSelector(root)), key=lambda i: i.path):
         if info.path.endswith(".parquet"):
             with system.open_input_file(info.path) as f:
-                file = pq.ParquetFile(f)
-                for group in range(file.num_row_groups):
-                    for row in file.read_row_group(group, columns=["payload"]).to_pylist():
-                        yield row["payload"]
+                yield pq.ParquetFile(f)
+
+
+def _shard(conv: str, shards: int) -> Column:
+    return F.pmod(F.xxhash64(conv), F.lit(shards))
 
 
 def index_shards(classes: DataFrame, shards: int, folder: str) -> None:
@@ -321,61 +350,123 @@ def index_shards(classes: DataFrame, shards: int, folder: str) -> None:
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("conv", kind="stable")
-        return pd.DataFrame([(ShardIndex.build(pdf["conv"].tolist(), pdf["words"].tolist()).dump(),)], columns=["payload"])
+        return pd.DataFrame([(pdf["shard"].iloc[0], ShardIndex.build(pdf["conv"].tolist(), pdf["words"].tolist()).dump())], columns=["shard", "payload"])
 
-    classes.select("conv", "words", F.pmod(F.xxhash64("conv"), F.lit(shards)).alias("shard")).groupBy("shard").applyInPandas(build, "payload binary").write.parquet(folder)
+    classes.select("conv", "words", _shard("conv", shards).alias("shard")).groupBy("shard").applyInPandas(build, "shard long, payload binary").write.partitionBy("shard").parquet(folder)
 
 
-def overlapping_classes(classes: DataFrame, share: float = SHARE) -> DataFrame:
-    """train_conv, eval_conv, common, longer, matched for all pairs of classes that hold the same conversation.
+def write_blocks(classes: DataFrame, parts: int, folder: str) -> None:
+    """Write ``classes`` (conv, words, n_words) to ``folder`` as blocks of texts of like length."""
 
-    ``matched``: words in maximal matches where backward search led to the pair, null where only the prefix filter did.
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = [pdf for pdf in batches if len(pdf)]
+        if not held:
+            return
+        pdf = pd.concat(held, ignore_index=True)
+        edges = cut(pdf["n_words"].to_numpy(), BLOCK, BLOCK_WORDS)
+        for begin, end in itertools.pairwise(edges):
+            part = pdf.iloc[begin:end]
+            hashes, sizes = token_hashes([t.split(" ") for t in part["words"]])
+            row = (int(sizes[0]), int(sizes[-1]), "\n".join(part["conv"]), "\n".join(part["words"]), hashes.tobytes(), sizes.tobytes())
+            yield pd.DataFrame([row], columns=["least", "most", "names", "texts", "hashes", "sizes"])
 
-    ``classes``: conv, words, n_words, n_train, n_eval; a stored table, as it is read several times.
-    """
+    schema = "least long, most long, names string, texts string, hashes binary, sizes binary"
+    classes.select("conv", "words", "n_words").repartitionByRange(parts, "n_words", "conv").sortWithinPartitions("n_words", "conv").mapInPandas(pack, schema).write.parquet(folder)
+
+
+def common_classes(classes: DataFrame, parts: int, tasks: int, folder: str, share: float = SHARE) -> DataFrame:
+    """train_conv, eval_conv, common, longer of all pairs of classes that hold the same conversation."""
     spark = classes.sparkSession
-    totals = classes.agg(F.sum(F.when(F.col("n_eval") > 0, F.col("n_words") + 1)), F.sum(F.when(F.col("n_train") > 0, F.col("n_words")))).first()
-    schema = "train_conv string, eval_conv string, common int, longer int, matched int"
-    if not totals[0] or not totals[1]:
-        return spark.createDataFrame([], schema)
-    folder = f"{shared_folder(spark).rstrip('/')}/turnloom/evaluation-index-{uuid.uuid4().hex}"
-    index_shards(classes.where("n_eval > 0"), math.ceil(totals[0] / SHARD_WORDS), folder)
+    write_blocks(classes.where("n_eval > 0"), parts, folder)
+    n = classes.count()
+    some = small(classes.where(F.pmod(F.xxhash64("conv"), F.lit(math.ceil(n / FITTED))) == 0).select("words"), 10 * FITTED)
+    basis = spark.sparkContext.broadcast(Filter.fit([r["words"] for r in some]).basis)
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = [pdf for pdf in batches if len(pdf)]
         if not held:
             return
-        said = [(c, w.split(" ")) for pdf in held for c, w in zip(pdf["conv"], pdf["words"])]
-        del held
-        for payload in _read_shards(folder):
-            index = ShardIndex.load(payload)
-            get = index.ids.get
-            found: list[tuple[str, str, int, int, int | None]] = []
-            i = 0
-            while i < len(said):
-                j, n = i, 0
-                while j < len(said) and (j == i or n + len(said[j][1]) <= BATCH_WORDS):
-                    n += len(said[j][1])
-                    j += 1
-                sizes = np.array([len(t) for _, t in said[i:j]])
-                words = np.fromiter((get(w, -1) for _, t in said[i:j] for w in t), dtype=np.int32, count=n)
-                first = np.cumsum(sizes) - sizes
-                doc = np.repeat(np.arange(j - i), sizes)
-                by_match = {(s, t): inside for s, t, inside in index.matched(words, sizes)}
-                rest = (pair for pair in index.candidates(words, doc, sizes, share) if pair not in by_match)
-                for s, t in itertools.chain(by_match, rest):
-                    mine = words[first[s] : first[s] + sizes[s]]
-                    other = index.words[index.starts[t] : index.ends[t]]
-                    longer = max(len(mine), len(other))
-                    common = common_words(mine.tolist(), other.tolist())
-                    if common >= share * longer:
-                        found.append((said[i + s][0], index.names[t], common, longer, by_match.get((s, t))))
-                i = j
-            if found:
-                yield pd.DataFrame(found, columns=["train_conv", "eval_conv", "common", "longer", "matched"]).astype({"matched": "Int32"})
-
-    tasks = max(spark.sparkContext.defaultParallelism, math.ceil(totals[1] / TASK_WORDS))
-    return classes.where("n_train > 0").select("conv", "words").repartition(tasks, "conv").mapInPandas(search, schema)
+        pdf = pd.concat(held, ignore_index=True).sort_values(["n_words", "conv"], kind="stable")
+        names, texts, lengths = pdf["conv"].tolist(), pdf["words"].tolist(), pdf["n_words"].to_numpy()
+        del held, pdf
+        edges = cut(lengths, BLOCK, BLOCK_WORDS)
+        mine = [Block(*token_hashes([t.split(" ") for t in texts[i:j]])) for i, j in itertools.pairwise(edges)]
+        by = Filter(basis.value)
+        near = lambda least, most: most >= share * lengths[0] - MARGIN and share * least - MARGIN <= lengths[-1]
+        for file in _files(folder):
+            if not any(near(r["least"], r["most"]) for r in file.read(columns=["least", "most"]).to_pylist()):
+                continue
+            for row in (r for batch in file.iter_batches(batch_size=1) for r in batch.to_pylist()):
+                if not near(row["least"], row["most"]):
+                    continue
+                other = Block(np.frombuffer(row["hashes"], dtype=np.uint16), np.frombuffer(row["sizes"], dtype=np.int64))
+                names_there, texts_there = row["names"].split("\n"), row["texts"].split("\n")
+                found: list[tuple[str, str, int, int]] = []
+                for block, first in zip(mine, edges):
+                    if block.sizes[-1] < share * row["least"] - MARGIN or row["most"] < share * block.sizes[0] - MARGIN:
+                        continue
+                    for s, t in ((first + int(s), int(t)) for x in by.pairs(block, other, share) for s, t in zip(*x)):
+                        a, b = texts[s].split(" "), texts_there[t].split(" ")
+                        longer = max(len(a), len(b))
+                        common = longer if a == b else common_words(a, b)
+                        if common >= share * longer:
+                            found.append((names[s], names_there[t], common, longer))
+                if found:
+                    yield pd.DataFrame(found, columns=["train_conv", "eval_conv", "common", "longer"])
+
+    return classes.where("n_train > 0").select("conv", "words", "n_words").repartitionByRange(tasks, "n_words", "conv").mapInPandas(search, "train_conv string, eval_conv string, common int, longer int")
+
+
+def led_to(pairs: DataFrame, classes: DataFrame, shards: int, folder: str) -> DataFrame:
+    """train_conv, eval_conv, matched: what backward search leads to from the training texts of ``pairs``, in the shards of these."""
+    spark = classes.sparkSession
+    index_shards(classes.where("n_eval > 0"), shards, folder)
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shard, index = -1, None
+        for pdf in batches:
+            for wanted, part in pdf.groupby("shard"):
+                if wanted != shard:
+                    shard, index = wanted, None  # the former index goes before the next is read
+                    index = ShardIndex.load(next(file.read(columns=["payload"])["payload"][0].as_py() for file in _files(f"{folder}/shard={wanted}")))
+                get = index.ids.get
+                names, said = part["train_conv"].tolist(), [t.split(" ") for t in part["words"]]
+                i = 0
+                while i < len(said):
+                    j, n = i, 0
+                    while j < len(said) and (j == i or n + len(said[j]) <= BATCH_WORDS):
+                        n += len(said[j])
+                        j += 1
+                    words = np.fromiter((get(w, -1) for t in said[i:j] for w in t), dtype=np.int32, count=n)
+                    found = [(names[i + s], index.names[t], inside) for s, t, inside in index.matched(words, np.array([len(t) for t in said[i:j]]))]
+                    i = j
+                    if found:
+                        yield pd.DataFrame(found, columns=["train_conv", "eval_conv", "matched"])
+
+    asked = pairs.select("train_conv", _shard("eval_conv", shards).alias("shard")).distinct().join(classes.select(F.col("conv").alias("train_conv"), "words"), "train_conv")
+    slices = math.ceil(spark.sparkContext.defaultParallelism / shards)
+    spread = asked.repartition(shards * slices, "shard", _shard("train_conv", slices)).sortWithinPartitions("shard", "train_conv")
+    return spread.mapInPandas(search, "train_conv string, eval_conv string, matched int")
+
+
+def overlapping_classes(classes: DataFrame, share: float = SHARE, matches: bool = False) -> DataFrame:
+    """train_conv, eval_conv, common, longer of all pairs of classes that hold the same conversation.
+
+    ``matches``: also matched, the words in maximal matches where backward search leads to the pair, null where it doesn't.
+
+    ``classes``: conv, words, n_words, n_train, n_eval; a stored table, as it is read several times.
+    """
+    spark = classes.sparkSession
+    totals = classes.agg(F.sum(F.when(F.col("n_eval") > 0, F.col("n_words") + 1)), F.sum(F.when(F.col("n_train") > 0, F.col("n_words")))).first()
+    if not totals[0] or not totals[1]:
+        return spark.createDataFrame([], "train_conv string, eval_conv string, common int, longer int" + ", matched int" * matches)
+    folder = f"{shared_folder(spark).rstrip('/')}/turnloom/evaluation-{uuid.uuid4().hex}"
+    shards = math.ceil(totals[0] / SHARD_WORDS)
+    tasks = max(2 * spark.sparkContext.defaultParallelism, math.ceil(totals[1] / TASK_WORDS))
+    pairs = stored(common_classes(classes, shards, tasks, f"{folder}/blocks", share), "class-pairs")
+    if not matches:
+        return pairs
+    return pairs.join(led_to(pairs, classes, shards, f"{folder}/index"), ["train_conv", "eval_conv"], "left")
 
 
 def _members(records: DataFrame, train: str, evaluation: tuple[str, ...]) -> DataFrame:
@@ -393,7 +484,7 @@ def _classes(members: DataFrame) -> DataFrame:
 def overlap_classes(records: DataFrame, *, train: str = "train", evaluation: tuple[str, ...] = ("dev", "test"), share: float = SHARE) -> DataFrame:
     """eval_conv, train_conv, common, longer, matched, n_eval, n_train, n_links: every pair of classes of equal conversations with the record pairs it stands for."""
     classes = _classes(stored(_members(records, train, evaluation), "conversations"))
-    pairs = overlapping_classes(classes, share)
+    pairs = overlapping_classes(classes, share, matches=True)
     sized = pairs.join(classes.select(F.col("conv").alias("train_conv"), "n_train"), "train_conv").join(classes.select(F.col("conv").alias("eval_conv"), "n_eval"), "eval_conv")
     return sized.select("eval_conv", "train_conv", "common", "longer", "matched", "n_eval", "n_train", (F.col("n_eval") * F.col("n_train")).alias("n_links"))
 
@@ -402,7 +493,7 @@ def overlapping_records(records: DataFrame, *, train: str = "train", evaluation:
     """train_rec, eval_rec, eval_split, eval_source, common, longer of every cross-split pair."""
     members = stored(_members(records, train, evaluation), "conversations")
     classes = _classes(members)
-    pairs = stored(overlapping_classes(classes, share), "class-pairs")
+    pairs = overlapping_classes(classes, share)
     trained = members.where("role = 'train'").select(F.col("conv").alias("train_conv"), F.col("rec_id").alias("train_rec"))
     evaluated = members.where("role = 'eval'").select(F.col("conv").alias("eval_conv"), F.col("rec_id").alias("eval_rec"), F.col("split").alias("eval_split"), F.col("source").alias("eval_source"))
     return pairs.join(trained, "train_conv").join(evaluated, "eval_conv").select("train_rec", "eval_rec", "eval_split", "eval_source", "common", "longer")
